@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.operators import drift, timestamps
 from lodestar.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +19,12 @@ def prevalence_stack(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"prevalence_stack": prevalence_stack}
+    return {
+        "prevalence_stack": prevalence_stack,
+        "p4_found": lambda s, d: timestamps.times_found(table(s, d, "component_rows"), table(s, d, "autoruns_known_good"), table(s, d, "clients")),
+        "p5_found": lambda s, d: drift.drift_found(table(s, d, "component_files"), table(s, d, "schema_contract")),
+        "p5_table": lambda s, d: drift.ingest(table(s, d, "component_files"), table(s, d, "schema_contract")),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
