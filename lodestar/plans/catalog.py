@@ -5,27 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestar.operators import drift, timestamps
-from lodestar.session import table
+from lodestar.plans import evidence, findings, scans, stacks  # noqa: F401  each enters its queries
+from lodestar.plans.registry import QUERIES, SQL, Tables, query
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def prevalence_stack(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "events")
-    return e.groupBy("event_type", "user_id").count().groupBy("event_type").agg(F.count("*").alias("host_count"), F.sum("count").alias("n"))
+@query("p4_found")
+def _(t: Tables) -> DataFrame:
+    return timestamps.times_found(t.component_rows, t.autoruns_known_good, t.clients)
+
+
+@query("p5_found")
+def _(t: Tables) -> DataFrame:
+    return drift.drift_found(t.component_files, t.schema_contract)
+
+
+@query("p5_table")
+def _(t: Tables) -> DataFrame:
+    return drift.ingest(t.component_files, t.schema_contract)
 
 
 def queries() -> dict[str, Query]:
-    return {
-        "prevalence_stack": prevalence_stack,
-        "p4_found": lambda s, d: timestamps.times_found(table(s, d, "component_rows"), table(s, d, "autoruns_known_good"), table(s, d, "clients")),
-        "p5_found": lambda s, d: drift.drift_found(table(s, d, "component_files"), table(s, d, "schema_contract")),
-        "p5_table": lambda s, d: drift.ingest(table(s, d, "component_files"), table(s, d, "schema_contract")),
-    }
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
