@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.lexicon import Lexicon, compile_lexicon
-from lodestar.session import shared_dir
+from lodestar.session import cut, shared_dir
 
 #: Where the public vocabulary files lie; never copied into this repository.
 TOKENIZERS = "/opt/tokenizers"
@@ -78,13 +78,20 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def frequent_pieces(texts: DataFrame, column: str, most: int = LEXICON_WORDS) -> list[str]:
-    """The `most` most frequent pieces over all texts; ties go to the lesser piece.
+    """The most frequent pieces over all texts, at most `most`; of equally frequent ones all or none.
 
     Cut in the JVM by nearly the same pattern: a difference only puts a piece in or out of the lexicon.
     """
     pieces = texts.select(F.explode(F.regexp_extract_all(F.col(column), F.lit(r"(?: ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+)"), F.lit(0))).alias("w"))
-    top = pieces.where("length(w) <= 64").groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(most)
-    return [r["w"] for r in top.collect()]
+    counts = cut(pieces.where("length(w) <= 64").groupBy("w").count().where("count > 1"))
+    # The least count that leaves no more than `most`: counts are few, so the driver sees no more pieces than it keeps.
+    above, least = 0, 1
+    for r in counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).collect():
+        above += r["n"]
+        if above > most:
+            least = r["count"]
+            break
+    return [r["w"] for r in counts.where(F.col("count") > least).select("w").collect()]
 
 
 def publish(spark: SparkSession, data: bytes, stem: str) -> str:
@@ -106,7 +113,7 @@ def encoder(lexicon_file: str, vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon(SparkFiles.get(lexicon_file))
         ranks = load_ranks(vocabulary)
-        cut = regex.compile(PIECES).findall
+        split = regex.compile(PIECES).findall
         for b in batches:
             texts = b.column(1).to_pylist()
             # Texts of a batch are taken in slices, so that very long ones don't pile up.
@@ -116,7 +123,7 @@ def encoder(lexicon_file: str, vocabulary: str):
                 while z < len(texts) and (z == at or size + len(texts[z] or "") <= 4_000_000):
                     size += len(texts[z] or "")
                     z += 1
-                lists = [cut(t) if t else [] for t in texts[at:z]]
+                lists = [split(t) if t else [] for t in texts[at:z]]
                 index: dict[str, int] = {}
                 code = index.setdefault
                 codes = np.fromiter((code(w, len(index)) for p in lists for w in p), np.int64)
