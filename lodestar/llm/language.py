@@ -85,14 +85,29 @@ def sentences(text: str) -> Iterator[tuple[int, str, bool]]:
             buf = []
 
 
+class _Words(dict):
+    """Runs without white space to the word of prose that they are, in lower case and without signs; else the empty string."""
+
+    MOST = 500_000
+
+    def __missing__(self, run: str) -> str:
+        out = run.strip("\"'“”‘’«»()[].,;:!?*_…").lower().replace("’", "'") if _TOKEN.fullmatch(run) else ""
+        if len(self) >= self.MOST:
+            self.clear()
+        self[run] = out
+        return out
+
+
+_word_of = _Words()
+
+
 def _prose(line: str) -> bool:
     if not line.strip() or _NOT_PROSE.match(line):
         return False
-    if _JA.search(line):
+    if not line.isascii() and _JA.search(line):
         return True
     parts = line.split()
-    plain = sum(1 for p in parts if _TOKEN.fullmatch(p))
-    return 2 * plain >= len(parts)
+    return 2 * sum(map(bool, map(_word_of.__getitem__, parts))) >= len(parts)
 
 
 def _cut(para: int, text: str) -> Iterator[tuple[int, str, bool]]:
@@ -108,14 +123,14 @@ def _cut(para: int, text: str) -> Iterator[tuple[int, str, bool]]:
 
 def prose_words(sentence: str) -> list[str]:
     """The words of a sentence in lower case, without paths, file names, flags and identifiers."""
-    if _JA.search(sentence):
+    if not sentence.isascii() and _JA.search(sentence):
         return [w for w in _WORD.findall(sentence.lower()) if _JA.search(w)]
-    return [w.strip("\"'“”‘’«»()[].,;:!?*_…").lower().replace("’", "'") for w in sentence.split() if _TOKEN.fullmatch(w)]
+    return [w for w in map(_word_of.__getitem__, sentence.split()) if w]
 
 
 def is_full(words: list[str], complete: bool) -> bool:
     """Whether a sentence is a full prose sentence: ended by a sign, and of several words (or signs without spaces)."""
-    return complete and (len(words) >= _MIN_WORDS or sum(len(w) for w in words if _JA.search(w)) >= _MIN_JA)
+    return complete and (len(words) >= _MIN_WORDS or sum(len(w) for w in words if not w.isascii() and _JA.search(w)) >= _MIN_JA)
 
 
 def label_code(label: str | None) -> str | None:
@@ -341,8 +356,10 @@ def labeller(model: Model):
 def training_rows(docs: DataFrame, limit: int = TRAIN_ROWS) -> list[tuple[str | None, str | None]]:
     """Up to `limit` labelled rows, those with the smallest hash of their id."""
     label = F.lower(F.split(F.trim("lang"), "[-_]")[0])
-    known = docs.where(label.isin(*LANGS, *THREE) & F.col("text").rlike(r"\S"))
-    return [(r[0], r[1]) for r in known.select("lang", "text", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "text").limit(limit).select("lang", "text").collect()]
+    known = docs.where(label.isin(*LANGS, *THREE)).select("lang", "text", F.xxhash64("doc_id").alias("_h"))
+    # Hashes first, so that no text is brought to the driver that isn't kept.
+    last = known.select("_h").orderBy("_h").limit(limit).agg(F.max("_h")).first()[0]
+    return [(r[0], r[1]) for r in known.where(F.col("_h") <= last).limit(limit).collect()] if last is not None else []
 
 
 def label_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
