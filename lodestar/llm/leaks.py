@@ -22,13 +22,14 @@ from pyspark.sql import functions as F
 RUN = 10
 #: Or so large a share of its words in their order.
 SHARE = (2, 3)
+#: What stands for a run of signs only until it is left out.
+NO_WORD = -1
 _SCHEMA = "doc_id bigint, item_id bigint, longest int, matched int, words int"
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 #: Format characters: zero-width spaces and joiners, soft hyphens, direction marks.
 _APOSTROPHES = dict.fromkeys(map(ord, "'\u2018\u2019\u02bc\u0060\u00b4"))
 _INVISIBLE = {c: None for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf"}
-_HAS_INVISIBLE = re.compile("[" + "".join(f"\\U{c:08x}" for c in _INVISIBLE) + "]")
 
 
 def words(text: str) -> list[str]:
@@ -36,14 +37,47 @@ def words(text: str) -> list[str]:
 
     Invisible format characters and apostrophes vanish inside words; markup tags and all other signs part words.
     """
-    if not text.isascii():
-        if _HAS_INVISIBLE.search(text):
-            text = text.translate(_INVISIBLE)
-        text = unicodedata.normalize("NFKC", text)
-    text = text.translate(_APOSTROPHES)
     if "<" in text:
         text = _TAG.sub(" ", text)
-    return _WORD.findall(text.lower())
+    return [w for token in text.split() for w in token_words(token)]
+
+
+def token_words(token: str) -> list[str]:
+    """The words of a run without white space."""
+    if not token.isascii():
+        token = unicodedata.normalize("NFKC", token.translate(_INVISIBLE))
+    return _WORD.findall(token.translate(_APOSTROPHES).lower())
+
+
+class Encoder(dict):
+    """Runs without white space to the number of their only word, 0 if no test has it, or a tuple of several words' numbers.
+
+    Runs repeat, so each is taken apart once; the memory is cleared when it holds too many.
+    """
+
+    MOST = 500_000
+
+    def __init__(self, vocab: dict[str, int]) -> None:
+        super().__init__()
+        self.vocab = vocab
+
+    def __missing__(self, token: str) -> int | tuple[int, ...]:
+        ids = tuple(self.vocab.get(w, 0) for w in token_words(token))
+        out = ids[0] if len(ids) == 1 else ids if any(ids) else 0 if ids else NO_WORD
+        if len(self) >= self.MOST:
+            self.clear()
+        self[token] = out
+        return out
+
+    def sequence(self, text: str) -> np.ndarray:
+        """The word numbers of a text; a run of several words of which no test has any counts as one word."""
+        if "<" in text:
+            text = _TAG.sub(" ", text)
+        ids = list(map(self.__getitem__, text.split()))
+        if tuple in set(map(type, ids)):
+            ids = [x for i in ids for x in (i if type(i) is tuple else (i,))]
+        out = np.array(ids, np.int64)
+        return out[out != NO_WORD]
 
 
 @dataclass
@@ -144,7 +178,7 @@ def aligned(item: np.ndarray, doc: np.ndarray) -> int:
 
 def finder(tests: Tests):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = tests.vocab.get
+        encode = Encoder(tests.vocab)
         need = -(-tests.sizes * SHARE[0] // SHARE[1])
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -154,11 +188,11 @@ def finder(tests: Tests):
                 while z < len(texts) and (z == at or size + len(texts[z] or "") <= 8_000_000):
                     size += len(texts[z] or "")
                     z += 1
-                yield from shard(ids[at:z], texts[at:z], get, need)
+                yield from shard(ids[at:z], texts[at:z], encode, need)
                 at = z
 
-    def shard(ids, texts, get, need) -> Iterator[pa.RecordBatch]:
-        seqs = [np.fromiter((get(w, 0) for w in words(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+    def shard(ids, texts, encode, need) -> Iterator[pa.RecordBatch]:
+        seqs = [encode.sequence(t) if t else np.zeros(0, np.int64) for t in texts]
         lengths = np.array([len(s) + 1 for s in seqs], np.int64)
         seq = np.zeros(int(lengths.sum()) + RUN + 1, np.int64)
         begins = np.cumsum(lengths) - lengths
