@@ -192,11 +192,11 @@ def _(t: Tables) -> DataFrame:
     return G.reconcile(k.where("batch_no > 10"), k.where("batch_no <= 10"), "image_path", "description")
 
 
-@query("rule_diff", "WITH o AS (SELECT category, image_path, min(notes) AS n, 1 AS o FROM golden_rules WHERE rule_id % 2 = 0 GROUP BY 1, 2), w AS (SELECT category, image_path, min(notes) AS n, 1 AS w FROM golden_rules WHERE rule_id % 3 = 0 GROUP BY 1, 2) SELECT coalesce(o.category, w.category) AS category, coalesce(o.image_path, w.image_path) AS image_path, CASE WHEN o.o IS NULL THEN 'added' WHEN w.w IS NULL THEN 'removed' WHEN o.n IS NOT DISTINCT FROM w.n THEN 'unchanged' ELSE 'updated' END AS change FROM o FULL JOIN w ON o.category IS NOT DISTINCT FROM w.category AND o.image_path IS NOT DISTINCT FROM w.image_path")
+@query("rule_diff", "WITH o AS (SELECT category, image_path, min(notes) AS n, 1 AS o FROM golden_rules WHERE loaded_at < TIMESTAMP '2024-11-15' GROUP BY 1, 2), w AS (SELECT category, image_path, min(notes) AS n, 1 AS w FROM golden_rules GROUP BY 1, 2) SELECT coalesce(o.category, w.category) AS category, coalesce(o.image_path, w.image_path) AS image_path, CASE WHEN o.o IS NULL THEN 'added' WHEN w.w IS NULL THEN 'removed' WHEN o.n IS NOT DISTINCT FROM w.n THEN 'unchanged' ELSE 'updated' END AS change FROM o FULL JOIN w ON o.category IS NOT DISTINCT FROM w.category AND o.image_path IS NOT DISTINCT FROM w.image_path")
 def _(t: Tables) -> DataFrame:
-    # Two exports of one rule table: the feature compares them, the ids only tell which export a rule was in.
     g = t.golden_rules
-    return G.diff(g.where("rule_id % 2 = 0"), g.where("rule_id % 3 = 0"), ["category", "image_path"], "notes")
+    earlier = g.where(F.col("loaded_at").cast("timestamp_ntz") < F.lit("2024-11-15").cast("timestamp_ntz"))
+    return G.diff(earlier, g, ["category", "image_path"], "notes")
 
 
 @query("merge_tables", "SELECT name, min(kind) AS kind, count(DISTINCT coalesce(kind, '')) AS payloads FROM (SELECT alias_name AS name, semantic AS kind FROM schema_contract UNION ALL SELECT DISTINCT artifact, 'artifact' FROM component_rows) GROUP BY 1")
