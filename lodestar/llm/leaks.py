@@ -176,6 +176,15 @@ def aligned(item: np.ndarray, doc: np.ndarray) -> int:
     return most
 
 
+def most_aligned(item: np.ndarray, doc: np.ndarray) -> int:
+    """An upper bound of `aligned`: an alignment never passes two neighbouring words of the item that doc doesn't have."""
+    there = np.zeros(int(max(item.max(), doc.max(initial=0))) + 1, bool)
+    there[doc] = True
+    have = there[item]
+    part = np.cumsum(np.concatenate([[False], ~have[1:] & ~have[:-1]]))
+    return int(np.bincount(part, have).max())
+
+
 def finder(tests: Tests):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tests.vocab)
@@ -233,7 +242,8 @@ def finder(tests: Tests):
             sure = top >= min(RUN, size)
             for k in np.flatnonzero(sure | (2 * share >= need[item])):
                 d = int(docs[k])
-                matched = 0 if sure[k] else aligned(tests.seq[tests.starts[item] : tests.starts[item] + size], seqs[d])
+                text = tests.seq[tests.starts[item] : tests.starts[item] + size]
+                matched = 0 if sure[k] or most_aligned(text, seqs[d]) < need[item] else aligned(text, seqs[d])
                 if sure[k] or matched >= need[item]:
                     result[d, int(item)] = [int(top[k]), max(matched, int(top[k])), size]
         rows = [(ids[d], int(tests.item_ids[i]), *v) for (d, i), v in result.items() if ids[d] is not None]

@@ -101,4 +101,11 @@ def test_alignment_of_random_edits():
         e = edited(r, words, share)
         doc = np.array([0, 0, *(number.get(w, 0) for w in e), 0])
         kept = sum(1 for w in e if w in number)
-        assert L.aligned(np.arange(1, 61), doc) == kept
+        assert L.aligned(np.arange(1, 61), doc) == kept <= L.most_aligned(np.arange(1, 61), doc)
+
+
+def test_bound_is_never_less():
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        item, doc = r.integers(1, 9, r.integers(1, 20)), r.integers(0, 9, r.integers(0, 40))
+        assert L.aligned(item, doc) <= L.most_aligned(item, doc)
