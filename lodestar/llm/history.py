@@ -1,13 +1,14 @@
 """New batches against all accepted history: a pivot-distance table with range-partitioned joins.
 
 Every distinct key is stored with its distances to fixed pivots. Two keys within `radius` edits of each other have
-distances to every pivot that differ by at most `radius`; ranges of two string pivots form the join key, the other pivots
+distances to every pivot that differ by at most `radius`; ranges of one string pivot are part of the join key, the others
 prune the pairs that are left, and the edit distance itself decides. Accepted keys are appended to the table, so a later
 call only computes the distances of its new rows.
 
 Besides whole strings, every symbol has a pivot: the empty string, seen through the projection that keeps only that
-symbol. The distance is then the count of the symbol; one edit changes those counts by at most two in all. The counts are
-held as unary bits, so their summed difference is the number of differing bits.
+symbol. The distance is then the count of the symbol; one edit changes those counts by at most two in all, in at most two
+groups of symbols. With more than 2 * radius groups one group has the same distances on both sides: it is the rest of the
+join key. The counts are held as unary bits, so their summed difference is the number of differing bits.
 """
 
 from __future__ import annotations
@@ -30,11 +31,22 @@ PIVOT_SAMPLE = 200
 PIVOTS = 6
 #: Width of the ranges of pivot distances that form the join key.
 RANGE = 4
-#: Unary bits for the counts of a symbol: how many, in symbols grouped by how often paths hold them.
-_BITS = {"aeio": 10, "dlnrst": 6, "bcfghkmpuvwxyz0123456789": 3}
-_STEPS = [(ch, k) for chars, n in _BITS.items() for ch in chars for k in range(1, n + 1)]
-LONGS = -(-len(_STEPS) // 64)
-
+#: Groups of symbols with the highest count that is told apart, so that a group takes at most FIELD bits; spread so
+#: that each group tells paths apart about as well.
+GROUPS = (
+    {"a": 9, "k": 6, "z": 6},
+    {"e": 9, "p": 6, "v": 6},
+    {"o": 9, "g": 6, "b": 4, "8": 2},
+    {"i": 9, "f": 5, "n": 5, "6": 2},
+    {"d": 6, "t": 6, "h": 5, "u": 4},
+    {"r": 6, "m": 6, "c": 5, "x": 4},
+    {"s": 6, "l": 6, "w": 5, "y": 4},
+)
+FIELD = 21
+_PER_LONG = 3
+LONGS = -(-len(GROUPS) // _PER_LONG)
+#: (bit, symbol, count): the bit is set if the symbol occurs at least so often.
+_STEPS = [(64 * (g // _PER_LONG) + FIELD * (g % _PER_LONG) + i, ch, k) for g, group in enumerate(GROUPS) for i, (ch, k) in enumerate((c, k) for c, most in group.items() for k in range(1, most + 1))]
 
 def _edits(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
@@ -61,8 +73,7 @@ def choose_pivots(keys: DataFrame, n: int = PIVOTS, sample: int = PIVOT_SAMPLE)
 
 def _symbol_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Appends the unary counts of all symbols, in longs of 64 bits, to batches with a column key."""
-    cols = np.array([ord(ch) for ch, _ in _STEPS])
-    least = np.array([k for _, k in _STEPS])
+    at, cols, least = (np.array(x) for x in zip(*[(bit, ord(ch), k) for bit, ch, k in _STEPS], strict=True))
     for b in batches:
         key = b.column(b.schema.get_field_index("key"))
         raw, n = pc.cast(key, pa.large_binary()), b.num_rows
@@ -70,7 +81,7 @@ def _symbol_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner = np.repeat(np.arange(n), pc.binary_length(raw).to_numpy())
         counts = np.bincount(owner * 256 + text, minlength=n * 256).reshape(n, 256)
         bits = np.zeros((n, 64 * LONGS), bool)
-        bits[:, : len(_STEPS)] = counts[:, cols] >= least
+        bits[:, at] = counts[:, cols] >= least
         longs = np.packbits(bits, axis=1, bitorder="little").view("<i8")
         yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(longs[:, i]) for i in range(LONGS)]], names=[*b.schema.names, *[f"c{i}" for i in range(LONGS)]])
 
@@ -83,20 +94,31 @@ def pivot_table(keys: DataFrame, pivots: Sequence[str]) -> DataFrame:
     return t.mapInArrow(_symbol_bits, schema)
 
 
+def _field(prefix: str, g: int):
+    return F.shiftright(F.col(f"{prefix}c{g // _PER_LONG}"), FIELD * (g % _PER_LONG)).bitwiseAND(F.lit((1 << FIELD) - 1))
+
+
 def near_pairs(table: DataFrame, radius: int) -> DataFrame:
-    """(a, b) key ids of all pairs of distinct keys within `radius` edits, a < b; table has kid, key and pivot columns."""
+    """(a, b) key ids of all pairs of distinct keys within `radius` edits, a < b; table has kid, key and pivot columns.
+
+    radius must be less than half the number of symbol groups. Of a pair, the key farther from the first pivot looks for the
+    nearer one, in the first symbol group that they share.
+    """
+    if 2 * radius >= len(GROUPS):
+        raise ValueError(f"a radius of {radius} needs more than {2 * radius} groups of symbols")
     pivots = [c for c in table.columns if c[0] == "p" and c[1:].isdigit()]
     symbols = [c for c in table.columns if c[0] == "c" and c[1:].isdigit()]
-    ranged = pivots[:2]
-    a = table.select(*[F.floor(F.col(p) / RANGE).alias(f"r{i}") for i, p in enumerate(ranged)], *[F.col(c).alias(f"a_{c}") for c in ["kid", "len", *pivots, *symbols]])
-    b = table.select(*[F.col(c).alias(f"b_{c}") for c in ["kid", "len", *pivots, *symbols]])
-    for i, p in enumerate(ranged):
-        lo, hi = F.floor((F.col(f"b_{p}") - radius) / RANGE), F.floor((F.col(f"b_{p}") + radius) / RANGE)
-        b = b.withColumn(f"r{i}", F.explode(F.sequence(lo, hi)))
-    within = [F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= radius for c in [*pivots, "len"]]
+    groups = F.explode(F.array(*[F.struct(F.lit(g).cast("byte").alias("g"), _field("", g).cast("int").alias("v")) for g in range(len(GROUPS))]))
+    cols = ["kid", "len", *pivots, *symbols]
+    one = table.select(groups.alias("x"), *cols).select("x.*", *cols)
+    a = one.select("g", "v", F.explode(F.sequence(F.floor((F.col("p0") - radius) / RANGE), F.floor(F.col("p0") / RANGE))).alias("r"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = one.select("g", "v", F.floor(F.col("p0") / RANGE).alias("r"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    turned = (F.col("a_p0") > F.col("b_p0")) | ((F.col("a_p0") == F.col("b_p0")) & (F.col("a_kid") < F.col("b_kid")))
     bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in symbols])
-    keep = reduce(lambda x, y: x & y, [F.col("a_kid") < F.col("b_kid"), bits <= 2 * radius, *within])
-    joined = a.join(b, [f"r{i}" for i in range(len(ranged))]).where(keep).select("a_kid", "b_kid")
+    within = [F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= radius for c in [*pivots, "len"]]
+    first = [(F.col("g") <= g) | (_field("a_", g) != _field("b_", g)) for g in range(len(GROUPS) - 1)]
+    keep = reduce(lambda x, y: x & y, [bits <= 2 * radius, turned, *within, *first])
+    joined = a.join(b, ["g", "v", "r"]).where(keep).select(F.least("a_kid", "b_kid").alias("a_kid"), F.greatest("a_kid", "b_kid").alias("b_kid"))
     text = table.select("kid", "key")
     return (
         joined.join(text.select(F.col("kid").alias("a_kid"), F.col("key").alias("x")), "a_kid")
