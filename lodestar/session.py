@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,8 +51,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def put_shared(spark: SparkSession, data: bytes, stem: str, suffix: str = "") -> str:
+    """Write bytes to a new file in the shared folder; its URI."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark), f"{stem}-{uuid.uuid4().hex}{suffix}")
+    stream = path.getFileSystem(conf).create(path)
+    stream.write(bytearray(data))
+    stream.close()
+    return path.toString()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application; on a cluster they have no copy of it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root, buf = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(put_shared(spark, buf.getvalue(), root.name, ".zip"))
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
