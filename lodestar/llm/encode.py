@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.lexicon import Lexicon, compile_lexicon
-from lodestar.session import cut, shared_dir
+from lodestar.session import cut, put_shared
 
 #: Where the public vocabulary files lie; never copied into this repository.
 TOKENIZERS = "/opt/tokenizers"
@@ -96,15 +95,9 @@ def frequent_pieces(texts: DataFrame, column: str, most: int = LEXICON_WORDS) ->
 
 def publish(spark: SparkSession, data: bytes, stem: str) -> str:
     """Put a file into the shared folder and hand it to every executor; the name to ask SparkFiles for."""
-    name = f"{stem}-{uuid.uuid4().hex}"
-    folder = shared_dir(spark)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(folder, name)
-    stream = path.getFileSystem(conf).create(path)
-    stream.write(bytearray(data))
-    stream.close()
-    spark.sparkContext.addFile(path.toString())
-    return name
+    uri = put_shared(spark, data, stem)
+    spark.sparkContext.addFile(uri)
+    return uri.rpartition("/")[2]
 
 
 def encoder(lexicon_file: str, vocabulary: str):
