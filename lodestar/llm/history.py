@@ -1,14 +1,14 @@
 """New batches against all accepted history: a pivot-distance table with range-partitioned joins.
 
 Every distinct key is stored with its distances to fixed pivots. Two keys within `radius` edits of each other have
-distances to every pivot that differ by at most `radius`; ranges of one string pivot are part of the join key, the others
-prune the pairs that are left, and the edit distance itself decides. Accepted keys are appended to the table, so a later
+distances to every pivot that differ by at most `radius`: sorted ranges of one string pivot's distance limit what is compared,
+the other pivots prune the pairs that are left, and the edit distance itself decides. Accepted keys are appended to the table, so a later
 call only computes the distances of its new rows.
 
 Besides whole strings, every symbol has a pivot: the empty string, seen through the projection that keeps only that
 symbol. The distance is then the count of the symbol; one edit changes those counts by at most two in all, in at most two
-groups of symbols. With more than 2 * radius groups one group has the same distances on both sides: it is the rest of the
-join key. The counts are held as unary bits, so their summed difference is the number of differing bits.
+groups of symbols. With more than 2 * radius groups one group has the same distances on both sides: it is the key that
+partitions the join. The counts are held as unary bits, so their summed difference is the number of differing bits.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.canonical import letters_digits
 from lodestar.llm.runs import adjacent_runs
-from lodestar.session import cut
+from lodestar.session import cut, shuffle_partitions
 
 #: Keys looked at to choose pivots (those with the smallest hash); it only affects speed, every key is indexed.
 PIVOT_SAMPLE = 200
 PIVOTS = 6
-#: Width of the ranges of pivot distances that form the join key.
-RANGE = 4
+#: Keys of a cell that one task holds; larger cells are split, none is cut short.
+CELL_ROWS = 50_000
 #: Groups of symbols with the highest count that is told apart, so that a group takes at most FIELD bits; spread so
 #: that each group tells paths apart about as well.
 GROUPS = (
@@ -98,33 +98,82 @@ def _field(prefix: str, g: int):
     return F.shiftright(F.col(f"{prefix}c{g // _PER_LONG}"), FIELD * (g % _PER_LONG)).bitwiseAND(F.lit((1 << FIELD) - 1))
 
 
-def near_pairs(table: DataFrame, radius: int) -> DataFrame:
+def _compare(radius: int, pivots: int):
+    """The mapInArrow function from sorted cells (cell, side, distances) to the pairs (a, b) that no pivot tells apart.
+
+    The rows of side 0 of a cell are held, those of side 1 pass by in blocks; both are sorted by the first pivot's distance, so a
+    block meets only the held rows within its range.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, table = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(batch.num_columns)])
+            ends = np.flatnonzero((c[:4, 1:] != c[:4, :-1]).any(0)) + 1
+            for lo, hi in zip([0, *ends], [*ends, c.shape[1]], strict=True):
+                now, side, rows = tuple(c[:3, lo]), c[3, lo], c[4:, lo:hi]
+                if now != cell:
+                    cell, held, table = now, [], None
+                if side == 0:
+                    held.append(rows)
+                    continue
+                if table is None:
+                    table = np.concatenate(held, 1) if held else np.zeros((rows.shape[0], 0), np.int64)
+                yield from _blocks(int(cell[0]), table, rows, radius, pivots)
+
+    return run
+
+
+def _blocks(group: int, far: np.ndarray, near: np.ndarray, radius: int, pivots: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a row of `far` and one of `near`, which is no farther from the first pivot; rows are kid, len, p…, c…."""
+    at, step = 0, 256
+    while at < near.shape[1]:
+        n = near[:, at : at + step]
+        at += step
+        x = np.searchsorted(far[2], n[2, 0], "left")
+        y = np.searchsorted(far[2], n[2, -1] + radius, "right")
+        for u in range(x, y, 16_384):
+            f = far[:, u : min(y, u + 16_384)]
+            bits = sum(np.bitwise_count(f[i][:, None] ^ n[i][None, :]) for i in range(2 + pivots, 2 + pivots + LONGS))
+            i, j = np.nonzero(bits <= 2 * radius)
+            a, b = f[:, i], n[:, j]
+            ok = (np.abs(a[1 : 2 + pivots] - b[1 : 2 + pivots]) <= radius).all(0) & ((a[2] > b[2]) | ((a[2] == b[2]) & (a[0] < b[0])))
+            for g in range(group):  # the pair is named in the first group that it shares
+                mask = np.int64(((1 << FIELD) - 1) << FIELD * (g % _PER_LONG))
+                row = 2 + pivots + g // _PER_LONG
+                ok &= ((a[row] ^ b[row]) & mask) != 0
+            if ok.any():
+                p, q = a[0, ok], b[0, ok]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+
+def near_pairs(table: DataFrame, radius: int, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(a, b) key ids of all pairs of distinct keys within `radius` edits, a < b; table has kid, key and pivot columns.
 
-    radius must be less than half the number of symbol groups. Of a pair, the key farther from the first pivot looks for the
-    nearer one, in the first symbol group that they share.
+    radius must be less than half the number of symbol groups. Keys meet in cells of equal distances in a symbol group. A cell
+    of more than cell_rows keys is split: each part holds some of them and all pass by each part.
     """
     if 2 * radius >= len(GROUPS):
         raise ValueError(f"a radius of {radius} needs more than {2 * radius} groups of symbols")
     pivots = [c for c in table.columns if c[0] == "p" and c[1:].isdigit()]
-    symbols = [c for c in table.columns if c[0] == "c" and c[1:].isdigit()]
-    groups = F.explode(F.array(*[F.struct(F.lit(g).cast("byte").alias("g"), _field("", g).cast("int").alias("v")) for g in range(len(GROUPS))]))
-    cols = ["kid", "len", *pivots, *symbols]
-    one = table.select(groups.alias("x"), *cols).select("x.*", *cols)
-    a = one.select("g", "v", F.explode(F.sequence(F.floor((F.col("p0") - radius) / RANGE), F.floor(F.col("p0") / RANGE))).alias("r"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = one.select("g", "v", F.floor(F.col("p0") / RANGE).alias("r"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    turned = (F.col("a_p0") > F.col("b_p0")) | ((F.col("a_p0") == F.col("b_p0")) & (F.col("a_kid") < F.col("b_kid")))
-    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in symbols])
-    within = [F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= radius for c in [*pivots, "len"]]
-    first = [(F.col("g") <= g) | (_field("a_", g) != _field("b_", g)) for g in range(len(GROUPS) - 1)]
-    keep = reduce(lambda x, y: x & y, [bits <= 2 * radius, turned, *within, *first])
-    joined = a.join(b, ["g", "v", "r"]).where(keep).select(F.least("a_kid", "b_kid").alias("a_kid"), F.greatest("a_kid", "b_kid").alias("b_kid"))
+    cols = ["kid", "len", *pivots, *[f"c{i}" for i in range(LONGS)]]
+    fields = [F.shiftright(F.col(f"c{g // _PER_LONG}"), FIELD * (g % _PER_LONG)).bitwiseAND(F.lit((1 << FIELD) - 1)) for g in range(len(GROUPS))]
+    one = table.select(F.explode(F.array(*[F.struct(F.lit(g).alias("g"), v.cast("int").alias("v")) for g, v in enumerate(fields)])).alias("x"), *cols).select("x.*", *cols)
+    large = one.groupBy("g", "v").count().where(F.col("count") > cell_rows).select("g", "v", F.ceil(F.col("count") / cell_rows).cast("int").alias("parts"))
+    one = one.join(large, ["g", "v"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    held = F.array(F.struct(F.pmod(F.xxhash64("kid"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side")))
+    passing = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.alias("part"), F.lit(1).alias("side")))
+    rows = one.select("g", "v", F.explode(F.concat(held, passing)).alias("y"), *cols).select("g", "v", "y.part", "y.side", *cols)
+    spread = rows.repartition(shuffle_partitions(table.sparkSession), "g", "v", "part").sortWithinPartitions("g", "v", "part", "side", "p0")
+    met = spread.mapInArrow(_compare(radius, len(pivots)), "a bigint, b bigint")
     text = table.select("kid", "key")
     return (
-        joined.join(text.select(F.col("kid").alias("a_kid"), F.col("key").alias("x")), "a_kid")
-        .join(text.select(F.col("kid").alias("b_kid"), F.col("key").alias("y")), "b_kid")
+        met.join(text.select(F.col("kid").alias("a"), F.col("key").alias("x")), "a")
+        .join(text.select(F.col("kid").alias("b"), F.col("key").alias("y")), "b")
         .where(F.levenshtein("x", "y", radius) >= 0)
-        .select(F.col("a_kid").alias("a"), F.col("b_kid").alias("b"))
+        .select("a", "b")
     )
 
 

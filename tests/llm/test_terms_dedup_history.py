@@ -135,6 +135,16 @@ def test_near_repeats_as_brute_force(spark, seed):
     assert {(r.id, r.first_id) for r in first.unionByName(later).collect()} == screened(rows, 3)
 
 
+def test_split_cells_find_the_same_pairs(spark):
+    keys = sorted({k for _, _, k in made(7)})
+    df = spark.createDataFrame(list(enumerate(keys)), "kid long, key string")
+    table = history.pivot_table(df, history.choose_pivots(df)).cache()
+    want = {(i, j) for i, a in enumerate(keys) for j, b in enumerate(keys) if i < j and abs(len(a) - len(b)) <= 3 and edits(a, b) <= 3}
+    for size in (3, 50_000):
+        got = [tuple(r) for r in history.near_pairs(table, 3, size).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_exact_repeats(spark):
     rows = [(i, b, k) for i, b, k in made(5)]
     got = history.screen_exact(spark.createDataFrame(rows, "id long, batch int, key string")).collect()
