@@ -19,6 +19,9 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self._dir = spark, sf_dir
 
+    def path(self, name: str) -> str:
+        return f"{self._dir}/{name}.parquet"
+
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self._dir, name)
 

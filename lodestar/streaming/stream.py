@@ -61,6 +61,21 @@ def since_cursor(df: DataFrame, time: Column, cursor: Column, cutoff: Column, ov
     return df.where(time.isNull() | ((time > cursor - F.expr(f"interval {overlap}")) & (time <= cutoff)))
 
 
+def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there into a folder of batches and give the result: all batches, or the last if each is complete.
+
+    A batch that runs again after a failure replaces its own output.
+    """
+    schema = stream.schema
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n if mode == 'append' else 0}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(schema).parquet(f"{folder}/out/*")
+
+
 def drain(df: DataFrame, name: str, mode: str = "append", transform: Callable | None = None) -> DataFrame:
     """Run a stream over what is there and give its result as a table; for tests and small jobs."""
     q = (transform(df) if transform else df).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
