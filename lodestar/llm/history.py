@@ -217,7 +217,9 @@ def screen_near(rows: DataFrame, radius: int, history: DataFrame | None = None,
     if history is not None:
         first = first.join(history.select("key"), "key", "left_anti")
     # Distinct keys have distinct first records, so the record's id names the key.
-    new = pivot_table(first.select(F.col("id").alias("kid"), "key", "batch", "id"), pivots)
+    # Distances cost more than the bytes of a key suggest: spread them over all tasks.
+    spread = first.repartition(shuffle_partitions(rows.sparkSession))
+    new = pivot_table(spread.select(F.col("id").alias("kid"), "key", "batch", "id"), pivots)
     table = cut(new if history is None else history.unionByName(new))
     pairs = near_pairs(table, radius)
     who = table.select(F.col("kid"), "batch")
