@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
 import sqlite3
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,45 @@ def metadata_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.col("value").rlike(m)).select(F.regexp_extract("value", m, 1).alias("key"), F.regexp_extract("value", m, 2).alias("value")).distinct()
 
 
+def csv_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, row map<string,variant>) of CSV chunks with a header each: cells that are JSON are read as such, others are text.
+
+    line counts from 2, the line after the header; chunks are bounded files, so each is read whole by one task.
+    """
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for name, text in zip(f["file"], f["value"], strict=True):
+                r = csv.reader(io.StringIO(text.lstrip("\ufeff")))
+                head = next(r, None)
+                at = r.line_num
+                for cells in r:
+                    if cells:
+                        out.append((name, at + 1, dict(zip(head, cells, strict=True))))
+                    at = r.line_num
+            yield pd.DataFrame(out, columns=["file", "line", "cells"])
+
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    cells = whole.mapInPandas(rows, "file string, line int, cells map<string,string>")
+    # A cell is JSON only as a whole: the parser alone would stop after a leading number.
+    is_json = lambda v: v.rlike(r'^(null|true|false|-?\d+(\.\d+)?([eE][+-]?\d+)?|".*"|\{.*\}|\[.*\])$')
+    return cells.select("file", "line", F.transform_values("cells", lambda _, v: F.coalesce(F.when(is_json(v), F.try_parse_json(v)), F.variant_get(F.parse_json(F.to_json(F.array(v))), "$[0]", "variant"))).alias("row"))
+
+
+def uploads_index(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file_size, uploaded_size, complete) of an index of uploads, one JSON object with `_Components` per line.
+
+    Entries without components or with a negative or missing size are left out; of paths that differ only in case the first in
+    order of spelling is kept.
+    """
+    raw = spark.read.schema("_Components array<string>, file_size bigint, uploaded_size bigint").json(path)
+    ok = raw.where((F.size("_Components") > 0) & (F.col("file_size") >= 0) & (F.col("uploaded_size") >= 0))
+    named = ok.select(F.array_join("_Components", "/").alias("path"), "file_size", "uploaded_size")
+    first = named.groupBy(F.lower("path").alias("_k")).agg(F.min(F.struct("path", "file_size", "uploaded_size")).alias("r"))
+    return first.select("r.*", (F.col("r.file_size") == F.col("r.uploaded_size")).alias("complete"))
+
+
 def repeated_keys(text: Column) -> Column:
     """Whether a JSON text has an object, at any depth, with a repeated key; null for broken JSON and null."""
 

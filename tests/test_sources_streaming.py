@@ -34,6 +34,18 @@ def test_json_rows(spark, tmp_path):
     assert [r.value for r in readers.broken_lines(spark, str(tmp_path / "3.json")).collect()] == ["broken"]
 
 
+def test_csv_chunks(spark, tmp_path):
+    (tmp_path / "c.csv").write_text('a,b\n1,"x\ny"\n"{""k"": [2]}","3 apples"\n')
+    got = readers.csv_chunks(spark, str(tmp_path)).orderBy("line").select("file", "line", F.to_json("row").alias("j")).collect()
+    assert [(r.file, r.line, json.loads(r.j)) for r in got] == [("c.csv", 2, {"a": 1, "b": "x\ny"}), ("c.csv", 4, {"a": {"k": [2]}, "b": "3 apples"})]
+
+
+def test_uploads_index(spark, tmp_path):
+    rows = [{"_Components": ["C", "A.txt"], "file_size": 5, "uploaded_size": 5}, {"_Components": ["c", "a.TXT"], "file_size": 6, "uploaded_size": 1}, {"_Components": [], "file_size": 1, "uploaded_size": 1}, {"_Components": ["x"], "file_size": -1, "uploaded_size": 1}]
+    (tmp_path / "u.json").write_text("\n".join(map(json.dumps, rows)))
+    assert [tuple(r) for r in readers.uploads_index(spark, str(tmp_path)).collect()] == [("C/A.txt", 5, 5, True)]
+
+
 def test_log_lines(spark, tmp_path):
     p = tmp_path / "x.log"
     p.write_text('2025-01-01T00:00:00Z INFO [op-1] stage done | rows=5 who="a b"\nnoise\n')
