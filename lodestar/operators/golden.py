@@ -23,9 +23,9 @@ def subtract_exact(rows: DataFrame, known: DataFrame, keys: Sequence[str]) -> Da
 
 def subtract_patterns(identities: DataFrame, rules: DataFrame, pairs: dict[str, str]) -> DataFrame:
     """Identities that no rule matches in all its fields; give distinct identities, each is tested once against the rules."""
-    from lodestar.operators.stacks import rule_matches
+    from lodestar.operators.stacks import unmatched
 
-    return identities.join(rules, rule_matches(identities, rules, pairs), "left_anti")
+    return unmatched(identities, rules, pairs)
 
 
 def known_good_filter(rows: DataFrame, keys: Sequence[str], exact: DataFrame, rules: DataFrame, pairs: dict[str, str]) -> DataFrame:

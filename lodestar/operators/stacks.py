@@ -52,24 +52,45 @@ def bounded_sample(df: DataFrame, dims: Sequence[str], value: str, most: int) ->
     return least.groupBy(*dims).agg(F.array_sort(F.collect_list(value)).alias("sample"))
 
 
-def rule_matches(groups: DataFrame, rules: DataFrame, pairs: dict[str, str]) -> Column:
-    """The join condition of a rule: every field of a group fully matches the rule's pattern, whatever the case."""
+#: Up to so many rules are written into the plan as literals, whose patterns are compiled once per task.
+LITERAL_RULES = 200
+
+
+def unmatched(groups: DataFrame, rules: DataFrame, pairs: dict[str, str]) -> DataFrame:
+    """Groups that no rule fully matches in all its fields, whatever the case; a null field counts as empty, null rules don't match.
+
+    Few rules become literal predicates; more are joined, where every pair compiles its pattern anew.
+    """
+    few = rules.select(*pairs.values()).distinct().limit(LITERAL_RULES + 1).collect()
+
+    def full(c: Column, pattern: Column) -> Column:
+        return F.regexp_like(F.coalesce(c, F.lit("")), F.concat(F.lit(r"(?is)\A(?:"), pattern, F.lit(r")\z")))
+
+    if len(few) <= LITERAL_RULES:
+        out = groups
+        for rule in few:
+            if all(rule[r] is not None for r in pairs.values()):
+                hit = F.lit(True)
+                for g, r in pairs.items():
+                    hit = hit & F.coalesce(F.col(g), F.lit("")).rlike(rf"(?is)\A(?:{rule[r]})\z")
+                out = out.where(~hit)
+        return out
     cond = F.lit(True)
     for g, r in pairs.items():
-        cond = cond & F.regexp_like(F.coalesce(groups[g], F.lit("")), F.concat(F.lit(r"(?is)\A(?:"), rules[r], F.lit(r")\z")))
-    return cond
+        cond = cond & full(groups[g], rules[r])
+    return groups.join(rules, cond, "left_anti")
 
 
 def accounted_stack(rows: DataFrame, dims: Sequence[str], host: str, rules: DataFrame, pairs: dict[str, str], cutoff: int, samples: int) -> tuple[DataFrame, DataFrame]:
     """(residual stack, accounts) where every row is accounted for.
 
     Rows are counted by identity first; groups above `cutoff` rows are set aside, the rest are matched against the rules, and
-    what no rule matches is the residual, with up to `samples` host names. The regex join comes last and sees each identity
-    once; rules is a reviewed table, and the planner broadcasts it or not by its size. accounts has one row: eligible = excluded + matched + residual, in rows and in groups.
+    what no rule matches is the residual, with up to `samples` host names. The patterns come last and see each identity once.
+    accounts has one row: eligible = excluded + matched + residual, in rows and in groups.
     """
     groups = rows.groupBy(*dims).agg(F.count("*").alias("total_rows"))
     open_ = groups.where(F.col("total_rows") <= cutoff) if cutoff > 0 else groups
-    left = open_.join(rules, rule_matches(open_, rules, pairs), "left_anti")
+    left = unmatched(open_, rules, pairs)
     names = bounded_sample(rows, dims, host, samples)
     on = [left[d].eqNullSafe(names[d]) for d in dims]
     stack = left.join(names, on, "left").select(*[left[d] for d in dims], "total_rows", F.coalesce("sample", F.array().cast("array<string>")).alias("example_hosts"))

@@ -7,6 +7,7 @@ overlap when a clock goes back, none reaches when it goes forward, and one holds
 
 from __future__ import annotations
 
+import struct
 import zoneinfo
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
@@ -56,6 +57,22 @@ def _rules(name: str) -> bytes:
     return name.encode()
 
 
+def _listed(rules: bytes) -> list[tuple[int, int, int]]:
+    """(second, offset before, offset after) of the changes that a zone file lists; its 64-bit part, as RFC 8536 lays it out."""
+    if rules[:4] != b"TZif" or rules[4:5] < b"2":
+        return []
+    counts = struct.unpack(">6l", rules[20:44])
+    at = 44 + counts[3] * 5 + counts[4] * 6 + counts[5] + counts[2] * 8 + counts[1] + counts[0]
+    counts = struct.unpack(">6l", rules[at + 20 : at + 44])
+    times, kinds = counts[3], counts[4]
+    at += 44
+    when = struct.unpack(f">{times}q", rules[at : at + 8 * times])
+    which = rules[at + 8 * times : at + 9 * times]
+    offsets = [struct.unpack(">l", rules[at + 9 * times + 6 * k :][:4])[0] for k in range(kinds)]
+    after = [offsets[k] for k in which]
+    return [(t, a, b) for t, a, b in zip(when, [offsets[0], *after], after, strict=False) if a != b]
+
+
 @lru_cache(maxsize=4)
 def zone_segments(first_year: int = 1970, last_year: int = 2050) -> list[tuple[str, int, int, int, int, str]]:
     """(zone, year, start_us, end_us, offset_us, kind) of all IANA zones: their local time lines without gap or overlap.
@@ -74,8 +91,13 @@ def zone_segments(first_year: int = 1970, last_year: int = 2050) -> list[tuple[s
             continue
         zone, first = zoneinfo.ZoneInfo(name), len(out)
         changes: list[tuple[int, int, int]] = []  # instant, offset before, after
-        t, off = begin, begin.astimezone(zone).utcoffset()
-        start_off = off
+        start_off = begin.astimezone(zone).utcoffset()
+        for second, before, after in _listed(rules):
+            if begin.timestamp() < second < end.timestamp():
+                changes.append((second * 1_000_000, before * 1_000_000, after * 1_000_000))
+        # The rule that goes on after the listed changes is followed step by step.
+        t = max(begin, _EPOCH + timedelta(microseconds=changes[-1][0])) if changes else begin
+        off = t.astimezone(zone).utcoffset()
         while t < end:
             u = min(t + step, end)
             if (o := u.astimezone(zone).utcoffset()) != off:

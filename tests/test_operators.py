@@ -106,6 +106,15 @@ def test_rules(spark):
         G.merge([old, new], ["k"], "t", strict=True).collect()
 
 
+def test_joined_rules_as_literal_ones(spark, monkeypatch):
+    df = spark.createDataFrame([("a1", "x"), ("A2", None), (None, "x"), ("b", "y")], "i string, l string")
+    rules = spark.createDataFrame([("a\\d", ".*"), ("", "X"), (None, ".*"), ("b", "z")], "ri string, rl string")
+    few = {tuple(r) for r in S.unmatched(df, rules, {"i": "ri", "l": "rl"}).collect()}
+    monkeypatch.setattr(S, "LITERAL_RULES", 0)
+    many = {tuple(r) for r in S.unmatched(df, rules, {"i": "ri", "l": "rl"}).collect()}
+    assert few == many == {("b", "y")}
+
+
 def test_findings(spark):
     df = spark.createDataFrame([("a10",), ("a9",), ("A1",)], "i string")
     assert [r.i for r in df.orderBy(D.natural_key(F.col("i"))).collect()] == ["A1", "a9", "a10"]
