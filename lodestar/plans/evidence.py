@@ -29,9 +29,9 @@ def _(t: Tables) -> DataFrame:
     return _content(t).agg(n.alias("input_rows"), F.count("*").alias("unique_rows"), F.round(F.lit(100.0) * (n - F.count("*")) / n, 2).alias("reduction"))
 
 
-@query("line_ranges", "SELECT flow_id, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a) AS ranges FROM (SELECT flow_id, min(l) AS a, max(l) AS b FROM (SELECT flow_id, l, l - row_number() OVER (PARTITION BY flow_id ORDER BY l) AS i FROM (SELECT DISTINCT flow_id, row_no AS l FROM component_rows WHERE row_no > 0 AND command_text IS NOT NULL AND length(command_text) % 3 > 0)) GROUP BY flow_id, i) GROUP BY 1")
+@query("line_ranges", "SELECT flow_id, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a) AS ranges FROM (SELECT flow_id, min(l) AS a, max(l) AS b FROM (SELECT flow_id, l, l - row_number() OVER (PARTITION BY flow_id ORDER BY l) AS i FROM (SELECT DISTINCT flow_id, row_no AS l FROM component_rows WHERE row_no > 0 AND contains(command_text, '.exe'))) GROUP BY flow_id, i) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return E.line_ranges(t.component_rows.where("command_text is not null and length(command_text) % 3 > 0"), ["flow_id"], "row_no")
+    return E.line_ranges(t.component_rows.where("contains(command_text, '.exe')"), ["flow_id"], "row_no")
 
 
 @query("numbered_then_filtered", "SELECT row_id, row_ref FROM (SELECT row_id, user_name, row_number() OVER (PARTITION BY flow_id ORDER BY component_name, row_no, row_id, received_at) AS row_ref FROM (SELECT DISTINCT * FROM component_rows)) WHERE user_name = 'SYSTEM'")

@@ -9,13 +9,6 @@ from lodestar.functions import hashing, text, times
 from lodestar.operators import predicates as P
 from lodestar.plans.registry import Tables, query
 
-_TS = "strftime({}, '%Y-%m-%d %H:%M:%S')"
-
-
-def _ts(c: str):
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-
-
 @query("scan_projection", "SELECT client_id, artifact, flow_id, component_name, row_no FROM component_rows WHERE artifact = 'Windows.System.TaskList' AND row_no > 3")
 def _(t: Tables) -> DataFrame:
     return t.component_rows.where("artifact = 'Windows.System.TaskList' and row_no > 3").select("client_id", "artifact", "flow_id", "component_name", "row_no")
