@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -54,6 +55,8 @@ def cut_text(text: str, limit: int) -> list[str]:
             lo, hi = bisect_left(at, target - step / 4), bisect_left(at, target + step / 4)
             near = [p for p in at[lo:hi] if p > cuts[-1]]
             cuts.append(min(near, key=lambda p: (breaks[p], abs(p - target))) if near else max(target, cuts[-1] + 1))
+            if cuts[-1] - cuts[-2] > 4 * limit:
+                break
         cuts.append(len(text))
         parts = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
         if all(tokens(p) <= limit for p in parts):
@@ -64,8 +67,10 @@ def cut_text(text: str, limit: int) -> list[str]:
 def plan(sizes: list[int], ranks: list[int], max_tokens: int, max_rows: int, overlap: int) -> list[tuple[int, int, int]]:
     """(first new unit, end, units repeated before it) of each piece; units are rows or parts of rows, each within max_tokens.
 
-    ranks[i] is the strength of the cut before unit i. Every piece but the first repeats the `overlap` units before it; where
-    even single units with their full overlap break a limit, only as many are repeated as fit.
+    ranks[i] is the strength of the cut before unit i. Every piece but the first repeats the `overlap` units before it; at a
+    cut where these and the next unit break a limit by themselves, only as many as fit. Of all plans those that repeat least
+    too little are chosen, of these those with the least pieces; among their cuts each piece takes the strongest within a
+    quarter of a piece of its balanced target, else the nearest.
     """
     n = len(sizes)
     ends = [0]
@@ -73,49 +78,54 @@ def plan(sizes: list[int], ranks: list[int], max_tokens: int, max_rows: int, ove
         ends.append(ends[-1] + s)
     total, max_rows = ends[-1], max(1, max_rows)
     ahead = max(0, min(overlap, max_rows - 1))
-    count = max(1, -(-total // max(1, max_tokens)), -(-max(0, n - ahead) // (max_rows - ahead)))
-    while count < n:
-        cuts, good = [0], True
-        for k in range(1, count):
-            # Targets share tokens and rows alike: position in both measures, halved.
-            share = k / count
-            t = bisect_left(ends, share * total) if total else round(share * n)
-            target = round((t + share * n) / 2) if n * max_tokens < total * max_rows * 4 and total * max_rows < n * max_tokens * 4 else (t if total / max(1, max_tokens) >= n / max_rows else round(share * n))
-            width = max(1, n // (4 * count))
-            near = [i for i in range(max(cuts[-1] + 1, target - width), min(n - 1, target + width) + 1)]
-            if not near:
-                good = False
-                break
-            cuts.append(min(near, key=lambda i: (-ranks[i], abs(i - target))))
-        if good:
-            cuts.append(n)
-            pieces = [(a, b, min(ahead, a)) for a, b in zip(cuts, cuts[1:], strict=False)]
-            if all(ends[b] - ends[a - o] <= max_tokens and b - a + o <= max_rows for a, b, o in pieces):
-                return pieces
-        count = max(count + 1, count * 21 // 20)
-    pieces, a = [], 0  # greedy: as much as fits, overlap as far as it fits
+    starts, reach, s = [], [], 0  # of a piece by its first new unit: its first repeated unit, its furthest end
+    for a in range(n):
+        s = max(s, a - ahead)
+        while s < a and ends[a + 1] - ends[s] > max_tokens:
+            s += 1
+        starts.append(s)
+        reach.append(min(n, s + max_rows, bisect_right(ends, ends[s] + max_tokens) - 1))
+    # From the end: units too few repeated at and after a cut, times n + 1, plus pieces after it. `best` holds cuts within
+    # reach, the later ones and cheaper at its right.
+    after, best = [0] * (n + 1), deque()
+    for a in range(n - 1, -1, -1):
+        while best and after[best[0]] >= after[a + 1]:
+            best.popleft()
+        best.appendleft(a + 1)
+        while best[-1] > reach[a]:
+            best.pop()
+        after[a] = after[best[-1]] + 1 + (ahead - a + starts[a]) * (n + 1) * (a > 0)
+    # Targets share what binds, tokens or rows; where both do, both alike.
+    by_tokens, by_rows = total / max(1, max_tokens), n / max_rows
+    t, r = (1, 1) if by_tokens < 4 * by_rows and by_rows < 4 * by_tokens else (1, 0) if by_tokens >= by_rows else (0, 1)
+    share = [t * e / max(1, total) + r * i / max(1, n) for i, e in enumerate(ends)]
+    pieces, a = [], 0
     while a < n:
-        o = min(ahead, a)
-        while o and ends[a + 1] - ends[a - o] > max_tokens:
-            o -= 1
-        b = a + 1
-        while b < n and ends[b + 1] - ends[a - o] <= max_tokens and b + 1 - a + o <= max_rows:
-            b += 1
-        pieces.append((a, b, o))
+        cost = after[a] - 1 - (ahead - a + starts[a]) * (n + 1) * (a > 0)
+        step = (share[n] - share[a]) / (after[a] % (n + 1))
+        off = {b: abs(share[b] - share[a] - step) for b in range(a + 1, reach[a] + 1) if after[b] == cost}
+        near = [b for b in off if off[b] <= step / 4 and b < n]
+        b = min(near, key=lambda b: (-ranks[b], off[b])) if near else min(off, key=off.__getitem__)
+        pieces.append((a, b, a - starts[a]))
         a = b
     return pieces
 
 
 def split_rows(rows: list[str | None], max_tokens: int | None, max_rows: int | None, overlap: int) -> tuple[bool, list[dict]]:
-    """(whether the batch exceeds a limit, its pieces). A null limit doesn't bind; a batch without rows has no pieces."""
+    """(whether the batch exceeds a limit, its pieces). A null limit doesn't bind; a batch without rows has no pieces.
+
+    A row too large is cut into parts so small that a piece holds the repeated parts and as many new ones, if the row limit lets it.
+    """
     max_tokens = max(1, max_tokens) if max_tokens is not None else 1 << 60
     max_rows = max_rows if max_rows is not None else 1 << 60
     sizes = [tokens(r) for r in rows]
     over = sum(sizes) > max_tokens or len(rows) > max_rows
+    ahead = max(0, min(overlap, max_rows - 1))
+    most = max(1, max_tokens // max(1, min(2 * ahead, max_rows)))
     units: list[tuple[int, str | None, int, bool]] = []  # row, text, rank of the cut before it, first part of a row too large
     for i, (r, s) in enumerate(zip(rows, sizes, strict=True)):
         if s > max_tokens:
-            for j, part in enumerate(cut_text(r, max_tokens)):
+            for j, part in enumerate(cut_text(r, most)):
                 units.append((i + 1, part, _PART_CUT if j else _ROW_CUT, j == 0))
         else:
             units.append((i + 1, r, _ROW_CUT, False))

@@ -40,6 +40,44 @@ def test_balanced():
     assert len(p) == 3 and all(x["overlap"] == 2 for x in p[1:]) and max(len(x["piece_rows"]) for x in p) <= 40
 
 
+def test_parts_of_a_large_row_overlap():
+    large = " ".join(f"word{i:04}" for i in range(400))
+    rows = ["abcd" * 10] * 6 + [large] + ["abcd" * 10] * 6
+    for overlap in (1, 2, 3):
+        _, p = S.split_rows(rows, 300, 12, overlap)
+        assert [x["overlap"] for x in p[1:]] == [overlap] * (len(p) - 1)
+        assert all(a["piece_rows"][-overlap:] == b["piece_rows"][:overlap] for a, b in zip(p, p[1:], strict=False))
+        assert max(x["tokens"] for x in p) <= 300 and max(len(x["piece_rows"]) for x in p) <= 12
+
+
+def test_overlap_gives_way_only_where_it_cannot_fit():
+    # The two rows of 8 can't share a piece, so the cut between them repeats nothing; all others repeat one row.
+    assert [o for _, _, o in S.plan([1] * 9 + [8, 8] + [1] * 9, [2] * 20, 10, 99, 1)].count(0) == 2
+    assert S.plan([3, 3, 3, 3], [2, 2, 1, 2], 6, 9, 0) == [(0, 2, 0), (2, 4, 0)]
+    # Cut ranks hold beside such a place too.
+    cuts = [a for a, _, _ in S.plan([8, 8] + [1] * 16, [2, 2] + [1] * 7 + [2] + [1] * 8, 10, 99, 1)]
+    assert 1 in cuts and 9 in cuts
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 6), min_size=1, max_size=9), st.integers(6, 12), st.integers(1, 5), st.integers(0, 3))
+def test_plan_is_the_best_of_all(sizes, tokens, rows, overlap):
+    n, ahead = len(sizes), min(overlap, rows - 1)
+    costs = []
+    for mask in range(1 << (n - 1)):
+        cuts = [0, *[i for i in range(1, n) if mask >> (i - 1) & 1], n]
+        short = 0
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            o = next(o for o in range(min(ahead, a), -1, -1) if sum(sizes[a - o : a + 1]) <= tokens)
+            if sum(sizes[a - o : b]) > tokens or b - a + o > rows:
+                break
+            short += (ahead - o) * (a > 0)
+        else:
+            costs.append((short, len(cuts) - 1))
+    got = S.plan(sizes, [2] * n, tokens, rows, overlap)
+    assert (sum(ahead - o for a, _, o in got if a), len(got)) == min(costs)
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     limits = spark.createDataFrame([(1, "d", 10, 3, 1), (2, "n", None, 2, 0)], "limits_id int, limits_name string, maximum_evidence_tokens_per_item long, maximum_analysis_item_rows long, overlap_rows int")
