@@ -3,7 +3,7 @@
 Each batch of documents is a shard. Its words are numbers of the test vocabulary (0 for all others), and the suffixes that
 begin with two test words are sorted to a depth of RUN words. Every test suffix is binary-searched: the depth at which its
 interval becomes empty is its longest verbatim match in the shard, the intervals give all locations. A document with a
-verbatim match of RUN words leaks; where matches cover enough of an item, an exact in-order alignment decides.
+verbatim match of RUN words leaks; where a document has enough single words of an item, an exact in-order alignment decides.
 """
 
 from __future__ import annotations
@@ -185,6 +185,29 @@ def most_aligned(item: np.ndarray, doc: np.ndarray) -> int:
     return int(np.bincount(part, have).max())
 
 
+def most_chained(item: np.ndarray, doc: np.ndarray) -> int:
+    """An upper bound of `aligned` too: an alignment never passes two neighbouring words of doc that the item doesn't have."""
+    there = np.zeros(int(max(item.max(), doc.max(initial=0))) + 1, bool)
+    there[item] = True
+    at = np.flatnonzero(there[doc])
+    ends = np.concatenate([[0], np.flatnonzero(np.diff(at) > 2) + 1, [len(at)]])
+    return int(np.diff(ends).max())
+
+
+def likely(tests: Tests, need: np.ndarray, seqs: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """(document, item) wherever the document has at least `need` words of the item, in any order: never fewer than align."""
+    if not len(tests.starts):
+        return
+    there = np.zeros(len(tests.vocab) + 1, bool)
+    for d, s in enumerate(seqs):
+        there[s] = True
+        there[0] = False
+        have = np.add.reduceat(there[tests.seq], tests.starts, dtype=np.int64)
+        there[s] = False
+        for item in np.flatnonzero(have >= need):
+            yield d, int(item)
+
+
 def finder(tests: Tests):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tests.vocab)
@@ -207,6 +230,28 @@ def finder(tests: Tests):
         begins = np.cumsum(lengths) - lengths
         for s, o in zip(seqs, begins, strict=True):
             seq[o : o + len(s)] = s
+        runs = dict.fromkeys(likely(tests, need, seqs), 0)
+        for pair, longest in verbatim(seq, begins, list(runs)):
+            runs[pair] = longest
+        result: dict[tuple[int, int], list[int]] = {}
+        for (d, item), longest in runs.items():
+            size, matched = int(tests.sizes[item]), 0
+            text = tests.seq[tests.starts[item] : tests.starts[item] + size]
+            sure = longest >= min(RUN, size)
+            if not sure and min(most_aligned(text, seqs[d]), most_chained(text, seqs[d])) >= need[item]:
+                matched = aligned(text, seqs[d])
+            if sure or matched >= need[item]:
+                result[d, item] = [max(longest, 1), max(matched, longest), size]
+        rows = [(ids[d], int(tests.item_ids[i]), *v) for (d, i), v in result.items() if ids[d] is not None]
+        if rows:
+            cols = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[2:]]], names=["doc_id", "item_id", "longest", "matched", "words"])
+
+    def verbatim(seq, begins, wanted) -> Iterator[tuple[tuple[int, int], int]]:
+        # Longest runs of two words or more: of the wanted pairs, and of all that are a leak by them.
+        docs_of: dict[int, list[int]] = {}
+        for d, item in wanted:
+            docs_of.setdefault(item, []).append(d)
         positions, tables = suffix_array(seq, RUN)
         if not len(positions):
             return
@@ -215,10 +260,9 @@ def finder(tests: Tests):
         if not len(found):
             return
         n_hits = hi[found] - lo[found]
-        result: dict[tuple[int, int], list[int]] = {}
         # Locations are expanded in blocks of test suffixes of one item after another, so their number stays bounded.
         owner = tests.owner[found]
-        for item in np.unique(owner):
+        for item in map(int, np.unique(owner)):
             mine = owner == item
             t = np.repeat(found[mine], n_hits[mine])
             first = np.repeat(lo[found[mine]] - (np.cumsum(n_hits[mine]) - n_hits[mine]), n_hits[mine])
@@ -230,26 +274,11 @@ def finder(tests: Tests):
             starts = np.flatnonzero(np.concatenate([[True], ~((p[1:] - p[:-1] == 1) & (t[1:] - t[:-1] == 1) & (doc[1:] == doc[:-1]))]))
             run = np.diff(np.concatenate([starts, [len(p)]])) + 1
             run_doc = doc[starts]
-            docs, back = np.unique(doc, return_inverse=True)
+            docs = np.unique(doc)
             top = np.zeros(len(docs), np.int64)
             np.maximum.at(top, np.searchsorted(docs, run_doc), run)
-            size = int(tests.sizes[item])
-            at_item = t - tests.starts[item]
-            covered = np.zeros(len(docs) * (size + 1), bool)
-            covered[back * (size + 1) + at_item] = True
-            covered[back * (size + 1) + np.minimum(at_item + 1, size)] = True
-            share = covered.reshape(len(docs), size + 1)[:, :size].sum(1)
-            sure = top >= min(RUN, size)
-            for k in np.flatnonzero(sure | (2 * share >= need[item])):
-                d = int(docs[k])
-                text = tests.seq[tests.starts[item] : tests.starts[item] + size]
-                matched = 0 if sure[k] or most_aligned(text, seqs[d]) < need[item] else aligned(text, seqs[d])
-                if sure[k] or matched >= need[item]:
-                    result[d, int(item)] = [int(top[k]), max(matched, int(top[k])), size]
-        rows = [(ids[d], int(tests.item_ids[i]), *v) for (d, i), v in result.items() if ids[d] is not None]
-        if rows:
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[2:]]], names=["doc_id", "item_id", "longest", "matched", "words"])
+            for k in np.flatnonzero((top >= min(RUN, int(tests.sizes[item]))) | np.isin(docs, docs_of.get(item, []))):
+                yield (int(docs[k]), item), int(top[k])
 
     return run
 

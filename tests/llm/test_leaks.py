@@ -59,6 +59,39 @@ def test_found(found):
     assert found[2] == {(i, 1) for i in (1, 2, 3, 5, 6, 7, 8, 9, 15, 17)} | {(16, 4)}
 
 
+def test_no_two_neighbouring_words_are_needed(spark):
+    w = ITEM.split()
+    docs = {
+        1: " ".join(f"{x} new{i}" for i, x in enumerate(w)),
+        2: " ".join("changed" if i % 3 == 1 and i < 30 else x for i, x in enumerate(w)),
+        3: " ".join(("changed" if i % 3 == 1 and i < 30 else f"{x} put{i}" if i % 6 == 2 else x) for i, x in enumerate(w)),
+        4: " ".join(f"{x} two words" for x in w),
+        5: " ".join(f"{x} new{i}" for i, x in enumerate(reversed(w))),
+        6: "one",
+        7: "ones",
+    }
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM), (2, "one")], "item_id long, item_text string")
+    assert {(r.doc_id, r.item_id) for r in L.leaks_found(d, items).collect()} == {(1, 1), (2, 1), (3, 1), (6, 2)}
+
+
+def test_finds_all_that_align():
+    r = random.Random(3)
+    items = [" ".join(r.choice("abcdefghij") for _ in range(r.randrange(1, 16))) for _ in range(12)]
+    tests = L.Tests.of(list(enumerate(items)))
+    texts = [" ".join(r.choice("abcdefghijxyz") for _ in range(r.randrange(0, 60))) for _ in range(150)]
+    batch = L.pa.RecordBatch.from_arrays([L.pa.array(range(len(texts)), L.pa.int64()), L.pa.array(texts)], names=["doc_id", "text"])
+    got = {(d, i) for b in L.finder(tests)(iter([batch])) for d, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    want = set()
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            number = np.array([tests.vocab.get(y, 0) for y in t.split()], np.int64)
+            item = np.array([tests.vocab[y] for y in x.split()], np.int64)
+            if 3 * L.aligned(item, number) >= 2 * len(item) or len(item) >= L.RUN and any(" ".join(x.split()[k : k + L.RUN]) in t for k in range(len(item) - L.RUN + 1)):
+                want.add((d, i))
+    assert got == want
+
+
 def test_documents_without_leaks(found):
     d, items, _ = found
     left = L.without_leaks(d, L.find_leaks(d, items)).select("doc_id").collect()
@@ -109,3 +142,4 @@ def test_bound_is_never_less():
     for _ in range(300):
         item, doc = r.integers(1, 9, r.integers(1, 20)), r.integers(0, 9, r.integers(0, 40))
         assert L.aligned(item, doc) <= L.most_aligned(item, doc)
+        assert L.aligned(item, doc) <= L.most_chained(item, doc)
