@@ -120,39 +120,38 @@ def _typed(json: Column, kind: Column, to: str) -> Column:
 
 
 def _first_of(entries: Column, meaning: Column, semantic: str, to: str) -> Column:
-    """(k, j, t): name, JSON and type of the first field, by name, of a meaning whose value casts."""
-    mine = F.filter(entries, lambda e: (F.try_element_at(meaning, e["key"]) == F.lit(semantic)) & _typed(e["value"]["json"], e["value"]["kind"], to).isNotNull())
+    """(k, j, t): name, JSON and type of the first field, by name, of a meaning whose value casts; a JSON null is no value."""
+    mine = F.filter(entries, lambda e: (e["value"]["kind"] != "null") & (F.try_element_at(meaning, e["key"]) == F.lit(semantic)) & _typed(e["value"]["json"], e["value"]["kind"], to).isNotNull())
     return F.try_element_at(F.array_sort(F.transform(mine, lambda e: F.struct(e["key"].alias("k"), e["value"]["json"].alias("j"), e["value"]["kind"].alias("t")))), F.lit(1))
 
 
-def ingest(raw: DataFrame, contract: DataFrame, names: DataFrame | None = None, read: DataFrame | None = None) -> DataFrame:
-    """Every record of every file in one consistent table.
-
-    file_id, request_id, component_name, exported_at, line_no; one typed column per meaning of TARGET; rescued, a map from name
-    to JSON of the fields that no column took (unknown name, value that doesn't cast, second name of one meaning); kinds, a map
-    from name to JSON type of all fields. A null, broken or non-object record keeps its ids with nulls elsewhere. Rows delivered
-    twice are one record. `names` gives approvals; by default they are made from all of raw.
-    """
-    read = read if read is not None else cut(read_fields(raw))
-    names = names if names is not None else approvals(read, contract)
+def _take(rows: DataFrame, fields: Column, names: DataFrame, filled: bool) -> DataFrame:
+    """rows with the typed columns taken from fields (name to kind and JSON) by names; where `filled`, only into nulls."""
+    names = names.where(F.col("semantic").isin(*TARGET)).groupBy("name").agg(F.min("semantic").alias("semantic"))
     # Names are the schema's, not the data's: their number doesn't grow with the rows. Only so many are held at once.
-    chosen = {r["name"]: r["semantic"] for r in names.where(F.col("semantic").isin(*TARGET)).orderBy(F.col("how") != "contract", "name").limit(10_000).collect()}
-    by_meaning: dict[str, list[str]] = {}
-    for n, m in chosen.items():
-        by_meaning.setdefault(m, []).append(n)
+    chosen = {r["name"]: r["semantic"] for r in names.orderBy("name").limit(10_000).collect()}
+    if filled and not chosen:
+        return rows
+    rows = rows.withColumn("_fields", fields)
     meaning = F.create_map(*[F.lit(x) for pair in (chosen or {"": ""}).items() for x in pair])
-    entries = F.map_entries("fields")
+    known = set(chosen.values())
+    entries = F.map_entries("_fields")
     cols, taken = {}, []
     for m, to in TARGET.items():
-        if m not in by_meaning:
-            cols[m] = F.lit(None).cast(to).alias(m)
+        if m not in known:
+            cols[m] = F.col(m) if filled else F.lit(None).cast(to).alias(m)
             continue
         first = _first_of(entries, meaning, m, to)
-        cols[m] = _typed(first["j"], first["t"], to).alias(m)
+        if filled:
+            first = F.when(F.col(m).isNull(), first)
+        value = _typed(first["j"], first["t"], to)
+        cols[m] = (F.coalesce(F.col(m), value) if filled else value).alias(m)
         taken.append(first["k"])
     used = F.array_compact(F.array(*taken)) if taken else F.array().cast("array<string>")
-    rescued = F.map_filter("fields", lambda k, v: ~F.array_contains(used, k) & (v["kind"] != "null"))
-    return read.select(
+    # A column of its own: inside the lambda of the select below, the names of columns would mean their new values.
+    rows = rows.withColumn("_used", used)
+    rescued = F.map_filter("_fields", lambda k, v: ~F.array_contains(F.col("_used"), k) & (v["kind"] != "null"))
+    return rows.select(
         "file_id",
         "request_id",
         "component_name",
@@ -160,10 +159,33 @@ def ingest(raw: DataFrame, contract: DataFrame, names: DataFrame | None = None,
         "line_no",
         *cols.values(),
         F.transform_values(rescued, lambda _, v: v["json"]).alias("rescued"),
-        F.transform_values("fields", lambda _, v: v["kind"]).alias("kinds"),
+        F.col("kinds") if filled else F.transform_values("_fields", lambda _, v: v["kind"]).alias("kinds"),
     )
 
 
+def replay(ingested: DataFrame, names: DataFrame) -> DataFrame:
+    """An ingested table with rescued values of approved names cast into typed columns that are null; raw files aren't read.
+
+    A value that goes into a column leaves `rescued`; what is there already stays.
+    """
+    rescued = F.transform_values("rescued", lambda k, v: F.struct(F.try_element_at("kinds", k).alias("kind"), v.alias("json")))
+    return _take(ingested, rescued, names, True)
+
+
+def ingest(raw: DataFrame, contract: DataFrame, names: DataFrame | None = None, read: DataFrame | None = None) -> DataFrame:
+    """Every record of every file in one consistent table.
+
+    file_id, request_id, component_name, exported_at, line_no; one typed column per meaning of TARGET; rescued, a map from name
+    to JSON of the fields that no column took (unknown name, value that doesn't cast, second name of one meaning); kinds, a map
+    from name to JSON type of all fields. A null, broken or non-object record keeps its ids with nulls elsewhere. Rows delivered
+    twice are one record. `names` gives approvals; by default they are made from all of raw. Names of the contract are cast
+    first, then those approved otherwise are replayed.
+    """
+    read = read if read is not None else cut(read_fields(raw))
+    names = names if names is not None else cut(approvals(read, contract))
+    return replay(_take(read, F.col("fields"), names.where("how = 'contract'"), False), names.where("how <> 'contract'"))
+
+
 def changes(ingested: DataFrame, names: DataFrame) -> DataFrame:
     """(file_id, field_name, change_kind, new_name): what each file changed against the one before it in its series.
 

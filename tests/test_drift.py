@@ -79,3 +79,15 @@ def test_numbers_by_their_text(spark, contract):
 def test_long_values(spark, contract):
     got = found(spark, contract, [{"User": "x" * 200_000}], [{"User": 7}])
     assert got == [(2, "User", "retyped", "")]
+
+
+def test_replay_fills_columns_of_an_earlier_table(spark, contract):
+    raw = spark.createDataFrame(rows([{"User": "a", "Owner": "b"}, {"User": None, "Owner": "c", "Nr": 7, "Other": 1}, {"Nr": "no number"}, None, {"A_User": "d", "User": "e"}]), RAW)
+    names = spark.createDataFrame([("User", "user", "contract")], "name string, semantic string, how string")
+    early = D.ingest(raw, contract, names)
+    assert [(r.user, r.pid) for r in early.orderBy("line_no").collect()] == [("a", None), (None, None), (None, None), (None, None), ("e", None)]
+    later = spark.createDataFrame([("Owner", "user", "values"), ("Nr", "pid", "values"), ("A_User", "user", "values")], names.schema)
+    got = D.replay(early, later).orderBy("line_no").collect()
+    assert [(r.user, r.pid) for r in got] == [("a", None), ("c", 7), (None, None), (None, None), ("e", None)]
+    assert [r.rescued for r in got] == [{"Owner": '"b"'}, {"Other": "1"}, {"Nr": '"no number"'}, None, {"A_User": '"d"'}]
+    assert D.ingest(raw, contract, names.union(later)).orderBy("line_no").collect() == got
