@@ -30,17 +30,20 @@ def windowed_stack(stream: DataFrame, dims: Sequence[str], time: str, width: str
     return stream.withWatermark(time, late).groupBy(F.window(time, width), *dims).agg(F.count("*").alias("n"))
 
 
-def first_match(stream: DataFrame, cond: Column, checkpoint: str, order: Sequence[str], timeout_s: int = 60) -> DataFrame | None:
-    """The first row, in order, of the first micro-batch that has a match; the stream stops there. None if it ends without."""
+def first_match(stream: DataFrame, cond: Column, checkpoint: str, order: Sequence[str], timeout_s: float | None = None) -> DataFrame | None:
+    """The first row, in order, of all that match in any batch; None if there is none. TimeoutError if the stream is cut off."""
     found: list = []
 
     def look(batch: DataFrame, _: int) -> None:
-        if not found:
-            found.extend(batch.where(cond).orderBy(*order).limit(1).collect())
+        hits = batch.where(cond)
+        if found:
+            hits = hits.unionByName(batch.sparkSession.createDataFrame(found, batch.schema))
+        found[:] = hits.orderBy(*order).limit(1).collect()
 
     q = stream.writeStream.foreachBatch(look).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
-        q.awaitTermination(timeout_s)
+        if q.awaitTermination(timeout_s) is False:
+            raise TimeoutError(f"the stream did not end within {timeout_s} s")
     finally:
         q.stop()
     return stream.sparkSession.createDataFrame(found, stream.schema) if found else None

@@ -99,3 +99,12 @@ def test_streams(spark, small, tmp_path):
     ts = F.col("ts").cast("timestamp")
     lo, hi = batch.agg(F.min(ts), F.max(ts)).first()
     assert stream.since_cursor(batch, ts, F.lit(lo), F.lit(hi)).count() == batch.count()
+
+
+def test_first_match_of_all_batches(spark, tmp_path):
+    for ids in ([5, 8], [3, 9], [4]):
+        spark.createDataFrame([(i,) for i in ids], "event_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = stream.read_stream(spark, str(tmp_path / "in"), "event_id long")
+    assert stream.first_match(s, F.col("event_id") > 0, str(tmp_path / "ck"), ["event_id"]).first().event_id == 3
+    with pytest.raises(TimeoutError):
+        stream.first_match(s, F.col("event_id") > 0, str(tmp_path / "ck2"), ["event_id"], timeout_s=0.001)
