@@ -27,7 +27,7 @@ def _(t: Tables) -> DataFrame:
 @query("stream_overlap_dedup", "SELECT DISTINCT event_id FROM events")
 def _(t: Tables) -> DataFrame:
     s, folder = _events(t)
-    return stream.run_to_table(stream.once_within(s.select("event_id", "ts"), ["event_id"], "ts"), folder).select("event_id")
+    return stream.once_to_table(s.select("event_id"), ["event_id"], folder)
 
 
 @query("stream_first_match", "SELECT min(event_id) AS event_id FROM events WHERE event_type = 'purchase' AND value > 30")

@@ -79,6 +79,23 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFr
     return stream.sparkSession.read.schema(schema).parquet(f"{folder}/out/*")
 
 
+def once_to_table(stream: DataFrame, keys: Sequence[str], folder: str) -> DataFrame:
+    """Run a stream over what is there and give one row per key, however late it comes: each batch leaves out what was written."""
+    schema = stream.schema
+
+    def write(batch: DataFrame, n: int) -> None:
+        new = batch.dropDuplicates(list(keys))
+        if n:
+            before = batch.sparkSession.read.schema(schema).parquet(*[f"{folder}/out/batch={k}" for k in range(n)])
+            seen = before.select(*[F.col(k).alias(f"_{k}") for k in keys])
+            on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+            new = new.join(seen, on, "left_anti")
+        new.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(schema).parquet(f"{folder}/out/*")
+
+
 def drain(df: DataFrame, name: str, mode: str = "append", transform: Callable | None = None) -> DataFrame:
     """Run a stream over what is there and give its result as a table; for tests and small jobs."""
     q = (transform(df) if transform else df).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

@@ -108,3 +108,11 @@ def test_first_match_of_all_batches(spark, tmp_path):
     assert stream.first_match(s, F.col("event_id") > 0, str(tmp_path / "ck"), ["event_id"]).first().event_id == 3
     with pytest.raises(TimeoutError):
         stream.first_match(s, F.col("event_id") > 0, str(tmp_path / "ck2"), ["event_id"], timeout_s=0.001)
+
+
+def test_late_rows_of_many_batches_are_kept_once(spark, tmp_path):
+    for rows in ([(1, "2025-01-02 00:00:00"), (2, "2025-01-02 01:00:00")], [(3, "2025-01-01 00:00:00"), (1, "2025-01-02 00:00:00"), (None, None)], [(4, "2024-01-01 00:00:00"), (None, None)]):
+        spark.createDataFrame(rows, "event_id long, ts string").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    s = stream.read_stream(spark, str(tmp_path / "events.parquet"), "event_id long, ts string", "ts")
+    got = stream.once_to_table(s.select("event_id"), ["event_id"], str(tmp_path / "run")).collect()
+    assert sorted(r.event_id or 0 for r in got) == [0, 1, 2, 3, 4]
