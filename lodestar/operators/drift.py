@@ -23,6 +23,8 @@ TARGET = {
 }
 #: Least likeness (cosine of value shapes) and lead over the next meaning for a name to be approved by its values.
 LIKENESS, LEAD = 0.6, 0.1
+#: Up to so many approved names are written into the plan; more are joined.
+LITERAL_NAMES = 10_000
 _FIELDS = "map<string,struct<kind:string,json:string>>"
 
 
@@ -125,16 +127,26 @@ def _first_of(entries: Column, meaning: Column, semantic: str, to: str) -> Colum
     return F.try_element_at(F.array_sort(F.transform(mine, lambda e: F.struct(e["key"].alias("k"), e["value"]["json"].alias("j"), e["value"]["kind"].alias("t")))), F.lit(1))
 
 
+def _with_meanings(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows with `_meaning`, a map from those names in `_fields` that names has to their semantics, joined by name."""
+    each = rows.select(F.col("file_id").alias("_f"), F.col("line_no").alias("_l"), F.explode(F.map_keys("_fields")).alias("name"))
+    pairs = each.join(names, "name").groupBy("_f", "_l").agg(F.map_from_entries(F.collect_set(F.struct("name", "semantic"))).alias("_meaning"))
+    return rows.join(pairs, F.col("file_id").eqNullSafe(F.col("_f")) & F.col("line_no").eqNullSafe(F.col("_l")), "left").drop("_f", "_l")
+
+
 def _take(rows: DataFrame, fields: Column, names: DataFrame, filled: bool) -> DataFrame:
     """rows with the typed columns taken from fields (name to kind and JSON) by names; where `filled`, only into nulls."""
     names = names.where(F.col("semantic").isin(*TARGET)).groupBy("name").agg(F.min("semantic").alias("semantic"))
-    # Names are the schema's, not the data's: their number doesn't grow with the rows. Only so many are held at once.
-    chosen = {r["name"]: r["semantic"] for r in names.orderBy("name").limit(10_000).collect()}
-    if filled and not chosen:
+    few = names.limit(LITERAL_NAMES + 1).collect()
+    if filled and not few:
         return rows
     rows = rows.withColumn("_fields", fields)
-    meaning = F.create_map(*[F.lit(x) for pair in (chosen or {"": ""}).items() for x in pair])
-    known = set(chosen.values())
+    if len(few) <= LITERAL_NAMES:
+        chosen = {r["name"]: r["semantic"] for r in few}
+        meaning = F.create_map(*[F.lit(x) for pair in (chosen or {"": ""}).items() for x in pair])
+        known = set(chosen.values())
+    else:
+        rows, meaning, known = _with_meanings(rows, names), F.col("_meaning"), set(TARGET)
     entries = F.map_entries("_fields")
     cols, taken = {}, []
     for m, to in TARGET.items():

@@ -91,3 +91,12 @@ def test_replay_fills_columns_of_an_earlier_table(spark, contract):
     assert [(r.user, r.pid) for r in got] == [("a", None), ("c", 7), (None, None), (None, None), ("e", None)]
     assert [r.rescued for r in got] == [{"Owner": '"b"'}, {"Other": "1"}, {"Nr": '"no number"'}, None, {"A_User": '"d"'}]
     assert D.ingest(raw, contract, names.union(later)).orderBy("line_no").collect() == got
+
+
+def test_more_names_than_the_plan_holds(spark, contract, monkeypatch):
+    raw = spark.createDataFrame(rows([{"User": "a", "Pid": 5, "Other": 1}, {"zzz": "c", "yyy": 7}, None, {}, {"zzz": "d", "Pid": None}]), RAW)
+    names = spark.createDataFrame([("Pid", "pid", "contract"), ("User", "user", "contract"), ("yyy", "pid", "values"), ("zzz", "user", "values")], "name string, semantic string, how string")
+    want = D.ingest(raw, contract, names).orderBy("line_no").collect()
+    assert [(r.user, r.pid) for r in want] == [("a", 5), ("c", 7), (None, None), (None, None), ("d", None)]
+    monkeypatch.setattr(D, "LITERAL_NAMES", 1)
+    assert D.ingest(raw, contract, names).orderBy("line_no").collect() == want
