@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -37,11 +39,26 @@ def local_session(name: str = "lodestar", cores: int | str = "*", partitions: in
     return spark
 
 
+def _local(master: str) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; only a session that names none (tests, local runs) gets a temporary one."""
+    """The checkpoint folder of the session, which all executors share.
+
+    Only a session in one process (tests, local runs) that names none gets a temporary one, deleted when Python ends; on a
+    cluster a missing spark.checkpoint.dir is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not _local(sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="lodestar-")
+            atexit.register(shutil.rmtree, folder, True)
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -51,16 +68,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _shared_file(spark: SparkSession, uri: str):
+    """The file system and the path of a URI."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def put_shared(spark: SparkSession, data: bytes, stem: str, suffix: str = "") -> str:
     """Write bytes to a new file in the shared folder; its URI."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark), f"{stem}-{uuid.uuid4().hex}{suffix}")
-    stream = path.getFileSystem(conf).create(path)
+    fs, path = _shared_file(spark, f"{shared_dir(spark)}/{stem}-{uuid.uuid4().hex}{suffix}")
+    stream = fs.create(path)
     stream.write(bytearray(data))
     stream.close()
     return path.toString()
 
 
+def get_shared(spark: SparkSession, uri: str) -> bytes:
+    """The bytes of a small file."""
+    fs, path = _shared_file(spark, uri)
+    stream = fs.open(path)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def drop_shared(spark: SparkSession, uri: str) -> None:
+    """Delete a file or folder of the shared folder that nothing reads any more."""
+    fs, path = _shared_file(spark, uri)
+    fs.delete(path, True)
+
+
 _shipped: set[str] = set()
 
 
