@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "p2_found": lambda s, d: terms.terms_found(table(s, d, "golden_rules"), table(s, d, "autoruns_known_good")),
         "p3_found": lambda s, d: dedup.copies_found(table(s, d, "golden_rules"), table(s, d, "autoruns_known_good")),
         "p6_found": lambda s, d: history.repeats_found(table(s, d, "autoruns_known_good"), table(s, d, "autoruns_regex_rules")),
+        "p6_batches": lambda s, d: history.batches_screened(table(s, d, "autoruns_known_good"), table(s, d, "autoruns_regex_rules")),
         "p7_ids": lambda s, d: encode.encode_corpus(table(s, d, "documents")),
         "p8_found": lambda s, d: leaks.leaks_found(table(s, d, "documents"), table(s, d, "eval_items")),
         "p9_found": lambda s, d: language.languages_found(table(s, d, "documents")),

@@ -121,36 +121,94 @@ def made(seed, n=260):
     return rows + rows[:20]
 
 
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "id long, batch int, key string")
+
+
+def pairs(df):
+    got = df.collect()
+    assert len(got) == len({r.id for r in got})
+    return {(r.id, r.first_id) for r in got}
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_near_repeats_as_brute_force(spark, seed):
     rows = made(seed)
-    df = spark.createDataFrame([*rows, (None, 1, "a"), (9999, None, "a"), (9998, 1, None)], "id long, batch int, key string").withColumn("kid", F.lit("clash"))
-    got, table = history.screen_near(df, 3)
-    got = got.collect()
-    assert len(got) == len({r.id for r in got}) and {(r.id, r.first_id) for r in got} == screened(rows, 3)
-    # The same in two calls, the second against the table of the first.
-    pivots = history.choose_pivots(df.where("key is not null").select("key").distinct())
-    first, kept = history.screen_near(df.where("batch <= 3"), 3, pivots=pivots)
-    later, _ = history.screen_near(df.where("batch > 3"), 3, kept, pivots)
-    assert {(r.id, r.first_id) for r in first.unionByName(later).collect()} == screened(rows, 3)
-
-
-def test_split_cells_find_the_same_pairs(spark):
-    keys = sorted({k for _, _, k in made(7)})
-    df = spark.createDataFrame(list(enumerate(keys)), "kid long, key string")
-    table = history.pivot_table(df, history.choose_pivots(df)).cache()
-    want = {(i, j) for i, a in enumerate(keys) for j, b in enumerate(keys) if i < j and abs(len(a) - len(b)) <= 3 and edits(a, b) <= 3}
-    for size in (3, 50_000):
-        got = [tuple(r) for r in history.near_pairs(table, 3, size).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
+    df = frame(spark, [*rows, (None, 1, "a"), (9999, None, "a"), (9998, 1, None)]).withColumn("kid", F.lit("clash")).withColumn("pos", F.lit(1))
+    want = screened(rows, 3)
+    assert pairs(history.screen_near(df, 3)[0]) == want
+    # The same in two calls, the second against the history of the first, which another session may have written.
+    first, kept = history.screen_near(df.where("batch <= 3"), 3)
+    later, _ = history.screen_near(df.where("batch > 3"), 3, history.History.load(spark, kept.save(spark)))
+    assert pairs(first) | pairs(later) == want
+    # And batch by batch.
+    kept, got = None, set()
+    for b in range(1, 6):
+        repeats, kept = history.screen_near(df.where(F.col("batch") == b), 3, kept)
+        got |= pairs(repeats)
+    assert got == want
+    accepted = {r.kid for r in kept.keys(spark).collect()}
+    assert accepted == {min(i for i, b2, k2 in rows if (b2, k2) == (b, k)) for i, b, k in rows if i not in dict(want)}
+
+
+def test_history_never_meets_itself(spark, monkeypatch):
+    rows = made(3, 600)
+    _, kept = history.screen_near(frame(spark, [r for r in rows if r[1] <= 4]), 3)
+    stored = {r.kid for r in kept.keys(spark).collect()}
+    measured, met = [], []
+    table, meet = history.pivot_table, history.History.meet
+    monkeypatch.setattr(history, "pivot_table", lambda keys, pivots: measured.append(keys.count()) or table(keys, pivots))
+    monkeypatch.setattr(history.History, "meet", lambda self, probes, radius: met.append({r.kid for r in probes.select("kid").collect()}) or meet(self, probes, radius))
+    new = [r for r in rows if r[1] == 5]
+    history.screen_near(frame(spark, new), 3, kept)
+    keys = {k for _, _, k in new}
+    # Only the new keys are measured and sent to the stored ones, whose number doesn't matter.
+    assert measured == [len(keys)] and len(met) == 1 and len(met[0]) == len(keys) and not met[0] & stored
+
+
+def test_many_ranges_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(history, "RANGE_ROWS", 40)
+    rows = made(7) + [(1000 + i, 1 + i % 3, "samepath" * 3 + "abc"[i % 3]) for i in range(60)]
+    want = screened(rows, 3)
+    assert pairs(history.screen_near(frame(spark, rows), 3)[0]) == want
+    first, kept = history.screen_near(frame(spark, [r for r in rows if r[1] <= 2]), 3)
+    assert sum(len(s.ranges) for s in kept.segments) > 10
+    later, kept = history.screen_near(frame(spark, [r for r in rows if r[1] > 2]), 3, kept)
+    assert pairs(first) | pairs(later) == want
+
+
+def test_segments_stay_few(spark):
+    kept = None
+    for b in range(9):
+        _, kept = history.screen_near(frame(spark, [(10 * b + i, b, f"{'abcdefghi'[b] * 5}{'klmnopqrs'[i] * 5}") for i in range(4)]), 1, kept)
+    assert [s.keys for s in kept.segments] == [32, 4]
+
+
+def test_long_and_odd_keys(spark):
+    rows = [(0, 1, "b" * 40_000), (1, 1, "a" * 2000), (2, 2, "a" * 1998), (3, 2, ""), (4, 3, "xy"), (5, 3, "bbbb"), (6, 4, "计算机安全"), (7, 5, "计算机安"), (8, 5, "A1")]
+    assert pairs(history.screen_near(frame(spark, rows), 3)[0]) == {(2, 1), (4, 3), (7, 6), (8, 3)}
+    assert pairs(history.screen_near(frame(spark, rows[:2]), 3)[0]) == set()
 
 
 def test_exact_repeats(spark):
-    rows = [(i, b, k) for i, b, k in made(5)]
-    got = history.screen_exact(spark.createDataFrame(rows, "id long, batch int, key string")).collect()
-    assert {(r.id, r.first_id) for r in got} == screened(rows, 0)
-    empty = spark.createDataFrame([], "id long, batch int, key string")
-    assert history.screen_exact(empty).count() == 0 and history.screen_near(empty, 3)[0].count() == 0
+    rows = made(5) + [(2000 + i, 1 + i % 5, "hot") for i in range(150)]
+    assert pairs(history.screen_exact(frame(spark, rows))[0]) == screened(rows, 0)
+    first, kept = history.screen_exact(frame(spark, [r for r in rows if r[1] <= 3]))
+    later, _ = history.screen_exact(frame(spark, [r for r in rows if r[1] > 3]), kept)
+    assert pairs(first) | pairs(later) == screened(rows, 0)
+    empty = frame(spark, [])
+    assert history.screen_exact(empty)[0].count() == 0 and history.screen_near(empty, 3)[0].count() == 0
+
+
+def test_batches_split_as_found(spark):
+    rows = made(11, 120)
+    known = frame(spark, rows).select(F.col("id").alias("record_id"), F.col("batch").alias("batch_no"), F.concat(F.lit("{"), F.upper("key"), F.lit("}")).alias("hash_key"))
+    rules = frame(spark, rows).select(F.col("id").alias("rule_id"), F.col("batch").alias("batch_no"), F.col("key").alias("image_path_regex"))
+    got = history.batches_screened(known, rules).collect()
+    assert len(got) == 240
+    found = {tuple(r) for r in history.repeats_found(known, rules).collect()}
+    assert {(r.table_name, r.first_id, r.record_id) for r in got if r.first_id is not None} == found and len(found) > 60
+    assert history.batches_screened(known.limit(0), rules.limit(0)).count() == 0
 
 
 def test_letters_digits(spark):
