@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +105,48 @@ def positions(table: DataFrame) -> DataFrame:
     return table.selectExpr(f"explode(array({', '.join(at)})) as pos", "*")
 
 
+def _compare(radius: int, pivots: int):
+    """The mapInArrow function from sorted (range, side, pos, kid, len, distances) to the pairs (a, b) that no pivot tells apart."""
+    block, chunk = 256, 16_384
+
+    def meet(held: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, y = np.searchsorted(held[0], n[0, 0] - radius, "left"), np.searchsorted(held[0], n[0, -1] + radius, "right")
+        for u in range(x, y, chunk):
+            f = held[:, u : min(y, u + chunk)]
+            bits = sum(np.bitwise_count(f[i][:, None] ^ n[i][None, :]) for i in range(3 + pivots, 3 + pivots + LONGS))
+            i, j = np.nonzero(bits <= 2 * radius)
+            a, b = f[:, i], n[:, j]
+            ok = (a[1] < b[1]) & (a[0] >> _NEAR_BITS == b[0] >> _NEAR_BITS) & (np.abs(a[2 : 3 + pivots] - b[2 : 3 + pivots]) <= radius).all(0)
+            group = a[0] >> (FIELD + _NEAR_BITS)
+            for g in range(len(GROUPS)):  # the pair is named in the first group that it shares
+                mask = np.int64(((1 << FIELD) - 1) << FIELD * (g % _PER_LONG))
+                row = 3 + pivots + g // _PER_LONG
+                ok &= (group <= g) | (((a[row] ^ b[row]) & mask) != 0)
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(a[1, ok]), pa.array(b[1, ok])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, table = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(batch.num_columns)])
+            ends = np.flatnonzero((c[:2, 1:] != c[:2, :-1]).any(0)) + 1
+            for lo, hi in zip([0, *ends], [*ends, c.shape[1]], strict=True):
+                side, rows = c[1, lo], c[2:, lo:hi]
+                if c[0, lo] != now:
+                    now, parts, table = c[0, lo], [], None
+                if side == 0:
+                    parts.append(rows)
+                    continue
+                if table is None:
+                    table = np.concatenate(parts, 1) if parts else np.zeros((rows.shape[0], 0), np.int64)
+                for at in range(0, rows.shape[1], block):
+                    yield from meet(table, rows[:, at : at + block])
+
+    return run
+
+
 @dataclass(frozen=True)
 class Segment:
     """A sorted part of the table: its folder, its keys, and number, least and greatest position of each of its ranges."""
@@ -159,18 +203,42 @@ class History:
         for s in taken:
             drop_shared(spark, s.path)
 
-    def meet(self, probes: DataFrame, radius: int) -> DataFrame:
-        """(kid, key, first_id, first_key) of every pair of a probe and a stored key within `radius` edits of each other, at least once."""
+    def reaching(self, table: DataFrame, radius: int) -> DataFrame:
+        """A row per key, position and range that keys within `radius` of it may lie in: n_range, pos and the key's columns."""
         # The ends of the ranges are data of the plan, of a size set by their number; each probe is sent to those it reaches.
         ends = ", ".join(f"named_struct('n', {n}, 'a', {a}L, 'z', {z}L)" for s in self.segments for n, a, z in s.ranges)
         reached = f"transform(filter(array({ends}), e -> e.a <= pos + {radius} and e.z >= pos - {radius}), e -> e.n)"
-        p = positions(probes).selectExpr("*", f"explode({reached}) as n_range")
-        p = p.selectExpr("n_range", *[f"{c} as n_{c}" for c in ["pos", *self.columns()]])
+        return positions(table).selectExpr("*", f"explode({reached}) as n_range")
+
+    def meet(self, probes: DataFrame, radius: int) -> DataFrame:
+        """(kid, key, first_id) of every pair of a probe and a stored key within `radius` edits of each other, at least once.
+
+        Probes of a small batch are broadcast by the planner, and the stored ranges are read where they lie.
+        """
+        p = self.reaching(probes, radius).selectExpr("n_range", *[f"{c} as n_{c}" for c in ["pos", *self.columns()]])
         near = [f"abs({c} - n_{c}) <= {radius}" for c in ["len", *[f"p{i}" for i in range(len(self.pivots))]]]
         differ = " + ".join(f"bit_count(c{i} ^ n_c{i})" for i in range(LONGS))
-        on = [f"range = n_range and shiftright(pos, {_NEAR_BITS}) = shiftright(n_pos, {_NEAR_BITS})", *near, f"{differ} <= {2 * radius}", f"levenshtein(key, n_key, {radius}) >= 0"]
+        # What tells most pairs apart comes first.
+        on = [f"range = n_range and shiftright(pos, {_NEAR_BITS}) = shiftright(n_pos, {_NEAR_BITS})", f"{differ} <= {2 * radius}", *near, f"levenshtein(key, n_key, {radius}) >= 0"]
         held = self.read(probes.sparkSession, *self.segments)
-        return held.join(p, F.expr(" and ".join(on))).selectExpr("n_kid as kid", "n_key as key", "kid as first_id", "key as first_key")
+        return held.join(p, F.expr(" and ".join(on))).selectExpr("n_kid as kid", "n_key as key", "kid as first_id")
+
+    def pairs(self, radius: int) -> DataFrame:
+        """(a, b) of all pairs of stored keys within `radius` edits of each other, a < b, each once; for keys that are all new.
+
+        Each key is sent to the ranges that it reaches. There the keys of the range are held, and those sent pass by in sorted
+        blocks, so that a block meets only the held ones within its reach.
+        """
+        spark = SparkSession.active()
+        stored = self.read(spark, *self.segments)
+        cols = ["kid", "len", *[f"p{i}" for i in range(len(self.pivots))], *[f"c{i}" for i in range(LONGS)]]
+        keys = stored.where(F.shiftright("pos", FIELD + _NEAR_BITS) == 0).select(*self.columns())
+        held = stored.selectExpr("range", "0 as side", "pos", *cols)
+        rows = held.unionByName(self.reaching(keys, radius).selectExpr("n_range as range", "1 as side", "pos", *cols))
+        spread = rows.repartition(shuffle_partitions(spark), "range").sortWithinPartitions("range", "side", "pos")
+        met = spread.mapInArrow(_compare(radius, len(self.pivots)), "a bigint, b bigint")
+        a, b = keys.selectExpr("kid as a", "key as x"), keys.selectExpr("kid as b", "key as y")
+        return met.join(a, "a").join(b, "b").where(F.levenshtein("x", "y", radius) >= 0).select("a", "b")
 
     def save(self, spark: SparkSession) -> str:
         """Write the list of segments to the shared folder; its URI for `load`."""
@@ -237,13 +305,12 @@ def screen_near(rows: DataFrame, radius: int, history: History | None = None) ->
         beside = History(history.pivots)
         beside.append(fresh, n)
         batch = new.select("key", "batch")
-        met = cut(beside.meet(new, radius).where("kid <> first_id").distinct())
-        links = cut(
-            met.select("kid", "key", F.col("first_id").alias("other"), F.col("first_key"))
-            .join(batch, "key")
-            .join(batch.select(F.col("key").alias("first_key"), F.col("batch").alias("other_batch")), "first_key")
-            .select("kid", "key", "batch", "other", "other_batch")
-        )
+        near = cut(beside.pairs(radius))
+        met = near.selectExpr("a as kid", "b as other").unionByName(near.selectExpr("b as kid", "a as other"))
+        if targets:  # keys that history refuses may repeat newly accepted ones too
+            met = met.unionByName(beside.meet(new.join(old, "key", "left_semi"), radius).selectExpr("kid", "first_id as other").distinct())
+        who = new.select("kid", "key", "batch")
+        links = cut(met.join(who, "kid").join(who.selectExpr("kid as other", "batch as other_batch"), "other").select("kid", "key", "batch", "other", "other_batch"))
         own = links.join(fresh.select("kid"), "kid", "left_semi")
         refused = _accepted(fresh, own).where("not accepted").select("kid")
         taken = cut(fresh.join(refused, "kid", "left_anti"))
