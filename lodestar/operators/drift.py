@@ -1,31 +1,39 @@
 """Schemas that drift between files: rescue-column ingestion and a report of every change.
 
-A target schema holds one typed column per meaning. A record's fields go to it by the names a contract knows; what is
+A target schema holds one typed column per meaning of the contract. A record's fields go to it by the names the contract knows; what is
 unknown or doesn't cast stays as JSON in a rescue column. Unknown names are then approved by what they hold: names spelled
 like a known one, and names whose values look like those of one known meaning. Rescued values of approved names are
-replayed into the typed columns. Each record keeps the JSON type of every field it had, which the change report compares
-from file to file.
+replayed into the typed columns. The change report is made from the ingested table: what went into a typed column, what was
+rescued and what was null in each file, compared from file to file.
+
+Names get their meaning once per distinct set of names, not per record, by a join; no list of names is part of the plan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestar.session import cut
+from lodestar.session import written
 
-#: The meanings of the contract and the types of their columns.
-TARGET = {
-    "user": "string", "path": "string", "eid": "bigint", "pid": "bigint", "size": "bigint", "score": "double", "signed": "boolean",
-    "time": "timestamp", "ip": "string", "entropy": "double", "tags": "array<string>", "details": "map<string,string>", "hash": "string",
+#: Types of the columns of meanings that aren't texts.
+TYPES = {
+    "eid": "bigint", "pid": "bigint", "size": "bigint", "score": "double", "entropy": "double", "signed": "boolean",
+    "time": "timestamp", "tags": "array<string>", "details": "map<string,string>",
 }
 #: Least likeness (cosine of value shapes) and lead over the next meaning for a name to be approved by its values.
 LIKENESS, LEAD = 0.6, 0.1
-#: Up to so many approved names are written into the plan; more are joined.
-LITERAL_NAMES = 10_000
-_FIELDS = "map<string,struct<kind:string,json:string>>"
+_IDS = ("file_id", "request_id", "component_name", "exported_at", "line_no")
+
+
+def target(contract: DataFrame) -> dict[str, str]:
+    """Column name to type, one for each meaning of the contract; the driver sees one row per column of the table."""
+    got = [r[0] for r in contract.select("semantic").where("semantic is not null").distinct().collect()]
+    return {m: TYPES.get(m, "string") for m in sorted(got)}
 
 
 def spelled(name: Column) -> Column:
@@ -37,42 +45,53 @@ def _kind(v: Column, raw: Column) -> Column:
     """The JSON type of a variant; whether a number is an integer is seen in its text, which 9.0 has and the variant not."""
     s = F.schema_of_variant(v)
     return (
-        F.when(s == "VOID", "null")
-        .when(s == "BOOLEAN", "boolean")
-        .when(s.rlike("^(BIGINT|TINYINT|SMALLINT|INT|DECIMAL|DOUBLE|FLOAT)"), F.when(raw.rlike(r"^-?\d+$"), "integer").otherwise("number"))
+        F.when(s.isNull() | (s == "VOID"), "null")
         .when(s == "STRING", "string")
+        .when(s == "BOOLEAN", "boolean")
         .when(s.startswith("ARRAY"), "array")
-        .otherwise("object")
+        .when(s.startswith("OBJECT"), "object")
+        .otherwise(F.when(raw.rlike(r"^-?\d+$"), "integer").otherwise("number"))
     )
 
 
+def _plain(kind: Column, raw: Column) -> Column:
+    """The text of a single value, of a list of one too; null for others."""
+    listed = F.from_json(raw, "array<string>")
+    return F.when(kind == "array", F.when(F.size(listed) == 1, listed[0])).when(~kind.isin("object", "null"), raw)
+
+
 def read_fields(raw: DataFrame) -> DataFrame:
-    """Records once each (by file_id and line_no) with `fields`: name to (kind, json); null where record_json is no object."""
-    once = raw.select("file_id", "request_id", "component_name", "exported_at", "line_no", "record_json").distinct()
+    """Records once each (by file_id and line_no) with `fields`, sorted by name: (name, kind, json, text).
+
+    `fields` is null where record_json is no object; text is the plain text of single values.
+    """
+    once = raw.select(*_IDS, "record_json").distinct()
     once = once.withColumns({"_v": F.from_json("record_json", T.MapType(T.StringType(), T.VariantType())), "_t": F.from_json("record_json", "map<string,string>")})
-    fields = F.transform_values("_v", lambda k, v: F.struct(F.coalesce(_kind(v, F.try_element_at("_t", k)), F.lit("null")).alias("kind"), F.to_json(v).alias("json")))
-    return once.withColumn("fields", fields).drop("record_json", "_v", "_t")
+    zipped = F.arrays_zip(F.map_keys("_v").alias("name"), F.map_values("_v").alias("v"), F.map_values("_t").alias("raw"))
+    kinds = F.transform(zipped, lambda e: F.struct(e["name"].alias("name"), _kind(e["v"], e["raw"]).alias("kind"), F.to_json(e["v"]).alias("json"), e["raw"].alias("raw")))
+    fields = F.transform("_k", lambda e: F.struct(e["name"].alias("name"), e["kind"].alias("kind"), e["json"].alias("json"), _plain(e["kind"], e["raw"]).alias("text")))
+    return once.withColumn("_k", kinds).withColumn("fields", F.array_sort(fields)).select(*_IDS, "fields")
 
 
-def _shape(kind: Column, json: Column) -> Column:
+def _shape(kind: Column, json: Column, text: Column) -> Column:
     """What a value looks like: its type, coarse size and pattern; a list of one counts as what it holds."""
-    inner = F.regexp_replace(json, r"^\[(.*)\]$", "$1")
-    one = (kind == "array") & ~F.coalesce(inner, F.lit("")).rlike(r"^\"[^\"]*\",|^[^\"{\[]*,")
-    v = F.when(one, inner).otherwise(json)
-    s = F.regexp_extract(v, r'^"(.*)"$', 1)
-    number = F.regexp_replace(s, r"\s", "")
-    bare = F.when(v.startswith('"'), number).otherwise(v)
+    bare = F.regexp_replace(text, r"\s", "")
+    size = F.concat(F.lit("integer:"), F.length(bare))
+    digits = F.concat(F.lit("number:"), F.length(F.substring_index(bare, ".", -1)))
     return (
-        F.when((kind == "array") & ~one, F.concat(F.lit("list:"), F.when(v.rlike(r'^\["[A-Za-z]+"'), "word").otherwise("other")))
-        .when(v.startswith("{"), "object")
-        .when(bare.rlike(r"^(?i)(true|false|yes|no)$"), "boolean")
-        .when(bare.rlike(r"^-?\d+$"), F.concat(F.lit("integer:"), F.length(bare)))
-        .when(bare.rlike(r"^-?\d+\.\d+$"), F.concat(F.lit("number:"), F.length(F.substring_index(bare, ".", -1))))
-        .when(s.rlike(r"^[0-9A-Fa-f]{32,128}$"), "hex")
-        .when(s.rlike(r"^\d{1,3}(\.\d{1,3}){3}(:\d+)?$|^[0-9A-Fa-f]*:[0-9A-Fa-f:]+$"), "address")
-        .when(s.rlike(r"^\d{4}-\d\d-\d\d"), "time")
-        .when(s.rlike(r"[\\/]"), "path")
-        .when(s.rlike(r"^[A-Za-z0-9_.\- ]{1,40}$"), "word")
+        F.when(kind == "integer", size)
+        .when(kind == "boolean", "boolean")
+        .when(kind == "object", "object")
+        .when(text.isNull(), F.concat(F.lit("list:"), F.when(json.rlike(r'^\["[A-Za-z]+"'), "word").otherwise("other")))
+        .when(bare.rlike(r"^-?\d+$"), size)
+        .when(bare.rlike(r"^-?\d+\.\d+$"), digits)
+        .when(kind == "number", "number")
+        .when(F.lower(bare).isin("true", "false", "yes", "no"), "boolean")
+        .when(text.rlike(r"^[0-9A-Fa-f]{32,128}$"), "hex")
+        .when(text.rlike(r"^\d{1,3}(\.\d{1,3}){3}(:\d+)?$|^[0-9A-Fa-f]*:[0-9A-Fa-f:]+$"), "address")
+        .when(text.rlike(r"^\d{4}-\d\d-\d\d"), "time")
+        .when(text.contains("/") | text.contains("\\"), "path")
+        .when(text.rlike(r"^[A-Za-z0-9_.\- ]{1,40}$"), "word")
         .otherwise("text")
     )
 
@@ -86,16 +105,17 @@ def approvals(read: DataFrame, contract: DataFrame) -> DataFrame:
     # An alias that the contract gives two meanings has the lesser one.
     by_name = known.groupBy("name").agg(F.min("semantic").alias("by_name"))
     by_spelling = known.groupBy(spelled(F.col("name")).alias("spelling")).agg(F.min("semantic").alias("by_spelling"))
-    values = read.select(F.explode("fields").alias("name", "v"))
-    shapes = values.where("v.kind != 'null'").groupBy("name", _shape(F.col("v.kind"), F.col("v.json")).alias("shape")).agg(F.count("*").alias("n"))
-    names = values.select("name").distinct().unionByName(by_name.select("name")).distinct()
-    given = cut(
+    values = read.select(F.inline("fields"))
+    seen = F.when(F.col("kind") != "null", _shape(F.col("kind"), F.col("json"), F.col("text")))
+    shapes = written(values.groupBy("name", seen.alias("shape")).agg(F.count("*").alias("n")))
+    names = shapes.select("name").unionByName(by_name.select("name")).distinct()
+    given = written(
         names.join(by_name, "name", "left")
         .withColumn("spelling", spelled(F.col("name")))
         .join(by_spelling, "spelling", "left")
         .select("name", F.coalesce("by_name", "by_spelling").alias("semantic"), F.when(F.col("by_name").isNotNull(), "contract").when(F.col("by_spelling").isNotNull(), "spelling").alias("how"))
     )
-    shapes = cut(shapes)
+    shapes = shapes.where("shape is not null")
     unit = Window.partitionBy("name")
     of_name = shapes.withColumn("w", F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(unit)))
     of_meaning = shapes.join(given.where("semantic is not null").select("name", "semantic"), "name").groupBy("semantic", "shape").agg(F.sum("n").alias("n"))
@@ -108,94 +128,106 @@ def approvals(read: DataFrame, contract: DataFrame) -> DataFrame:
     return given.where("semantic is not null").unionByName(by_values)
 
 
-def _typed(json: Column, kind: Column, to: str) -> Column:
-    """A JSON value in a column's type, null where it doesn't cast; a list of one gives its value to a plain column."""
+def _castable(semantic: Column, kind: Column, text: Column, to: Mapping[str, str]) -> Column:
+    """Whether a value goes into the column of its meaning; a JSON null is no value."""
+
+    def of(kinds: str) -> Column:
+        return semantic.isin(*[m for m, t in to.items() if t == kinds])
+
+    out = F.when(kind == "null", F.lit(False)).when(of("array<string>"), (kind == "array") | text.isNotNull())
+    out = out.when(of("map<string,string>"), kind == "object").when(of("string"), text.isNotNull())
+    for t in sorted({t for t in to.values() if t not in ("array<string>", "map<string,string>", "string")}):
+        out = out.when(of(t), text.try_cast(t).isNotNull())
+    return F.coalesce(out, F.lit(False))
+
+
+def _value(field: Column, to: str) -> Column:
+    """A castable field in the type of its column."""
+    kind, json, text = field["kind"], field["json"], field["text"]
     if to == "array<string>":
-        return F.when(kind == "array", F.from_json(json, to)).when(kind != "null", F.array(F.regexp_replace(json, r'^"(.*)"$', "$1")))
+        return F.when(kind == "array", F.from_json(json, to)).when(text.isNotNull(), F.array(text))
     if to.startswith("map"):
-        return F.when(kind == "object", F.from_json(json, to))
-    one = F.regexp_replace(json, r"^\[([^,]*)\]$", "$1")
-    s = F.when(kind.isin("array", "object") & (one == json), F.lit(None)).otherwise(F.regexp_replace(F.regexp_replace(one, r'^"(.*)"$', "$1"), r"\\\\", r"\\"))
-    if to == "string":
-        return s
-    return s.try_cast(to)
+        return F.from_json(json, to)
+    return text if to == "string" else text.try_cast(to)
+
 
+def _with_meanings(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows with `_meaning`, name to semantic of those names in `fields` that `names` knows.
 
-def _first_of(entries: Column, meaning: Column, semantic: str, to: str) -> Column:
-    """(k, j, t): name, JSON and type of the first field, by name, of a meaning whose value casts; a JSON null is no value."""
-    mine = F.filter(entries, lambda e: (e["value"]["kind"] != "null") & (F.try_element_at(meaning, e["key"]) == F.lit(semantic)) & _typed(e["value"]["json"], e["value"]["kind"], to).isNotNull())
-    return F.try_element_at(F.array_sort(F.transform(mine, lambda e: F.struct(e["key"].alias("k"), e["value"]["json"].alias("j"), e["value"]["kind"].alias("t")))), F.lit(1))
+    Records have few different sets of names: each set is looked up once, and joined by the whole set.
+    """
+    rows = rows.withColumn("_names", F.transform("fields", lambda e: e["name"]))
+    one = names.groupBy("name").agg(F.min("semantic").alias("semantic"))
+    sets = rows.select("_names").distinct()
+    known = sets.select("_names", F.explode(F.array_distinct("_names")).alias("name")).join(one, "name")
+    known = known.groupBy("_names").agg(F.map_from_entries(F.collect_list(F.struct("name", "semantic"))).alias("_meaning"))
+    # Written first, so that the planner knows how small it is and leaves the rows where they are.
+    return rows.join(written(known), "_names", "left").drop("_names")
 
 
-def _with_meanings(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """rows with `_meaning`, a map from those names in `_fields` that names has to their semantics, joined by name."""
-    each = rows.select(F.col("file_id").alias("_f"), F.col("line_no").alias("_l"), F.explode(F.map_keys("_fields")).alias("name"))
-    pairs = each.join(names, "name").groupBy("_f", "_l").agg(F.map_from_entries(F.collect_set(F.struct("name", "semantic"))).alias("_meaning"))
-    return rows.join(pairs, F.col("file_id").eqNullSafe(F.col("_f")) & F.col("line_no").eqNullSafe(F.col("_l")), "left").drop("_f", "_l")
-
-
-def _take(rows: DataFrame, fields: Column, names: DataFrame, filled: bool) -> DataFrame:
-    """rows with the typed columns taken from fields (name to kind and JSON) by names; where `filled`, only into nulls."""
-    names = names.where(F.col("semantic").isin(*TARGET)).groupBy("name").agg(F.min("semantic").alias("semantic"))
-    few = names.limit(LITERAL_NAMES + 1).collect()
-    if filled and not few:
-        return rows
-    rows = rows.withColumn("_fields", fields)
-    if len(few) <= LITERAL_NAMES:
-        chosen = {r["name"]: r["semantic"] for r in few}
-        meaning = F.create_map(*[F.lit(x) for pair in (chosen or {"": ""}).items() for x in pair])
-        known = set(chosen.values())
-    else:
-        rows, meaning, known = _with_meanings(rows, names), F.col("_meaning"), set(TARGET)
-    entries = F.map_entries("_fields")
-    cols, taken = {}, []
-    for m, to in TARGET.items():
-        if m not in known:
-            cols[m] = F.col(m) if filled else F.lit(None).cast(to).alias(m)
-            continue
-        first = _first_of(entries, meaning, m, to)
-        if filled:
-            first = F.when(F.col(m).isNull(), first)
-        value = _typed(first["j"], first["t"], to)
-        cols[m] = (F.coalesce(F.col(m), value) if filled else value).alias(m)
-        taken.append(first["k"])
-    used = F.array_compact(F.array(*taken)) if taken else F.array().cast("array<string>")
-    # A column of its own: inside the lambda of the select below, the names of columns would mean their new values.
+def _take(rows: DataFrame, names: DataFrame, to: Mapping[str, str], before: DataFrame | None = None) -> DataFrame:
+    """rows with the typed columns taken from `fields` by names; of several names of one meaning the first that casts.
+
+    With `before`, an ingested table's columns are in rows too, and only its null columns are filled.
+    """
+    filled = before is not None
+    rows = _with_meanings(rows, names)
+    meant = F.transform("fields", lambda e: F.struct(F.try_element_at("_meaning", e["name"]).alias("semantic"), e["name"].alias("name"), e["kind"].alias("kind"), e["json"].alias("json"), e["text"].alias("text")))
+    rows = rows.withColumn("_meant", meant)
+    free = (lambda m: ~F.array_contains(F.map_keys("typed"), m)) if filled else (lambda m: F.lit(True))
+    ok = F.filter("_meant", lambda e: _castable(e["semantic"], e["kind"], e["text"], to) & free(e["semantic"]))
+    rows = rows.withColumn("_ok", F.coalesce(F.array_sort(ok), F.array().cast(rows.schema["_meant"].dataType)))
+    first = F.filter("_ok", lambda e, i: (i == 0) | (F.try_element_at("_ok", F.greatest(i, F.lit(1)))["semantic"] != e["semantic"]))
+    rows = rows.withColumn("_first", first).withColumn("_by", F.map_from_arrays(F.transform("_first", lambda e: e["semantic"]), F.col("_first")))
+    taken = F.transform_values("_by", lambda _, e: F.struct(e["name"].alias("name"), e["kind"].alias("kind")))
+    used = F.transform("_first", lambda e: e["name"])
+    left = F.filter("fields", lambda e: ~F.array_contains(F.col("_used"), e["name"]) & (e["kind"] != "null"))
+    kept = F.map_from_entries(F.transform(left, lambda e: F.struct(e["name"], F.struct(e["kind"].alias("kind"), e["json"].alias("json")))))
+    nulls = F.transform(F.filter("fields", lambda e: e["kind"] == "null"), lambda e: e["name"])
+    # Columns of their own: inside the lambdas of the select below, the names of columns would mean their new values.
     rows = rows.withColumn("_used", used)
-    rescued = F.map_filter("_fields", lambda k, v: ~F.array_contains(F.col("_used"), k) & (v["kind"] != "null"))
+    value = {m: _value(F.try_element_at("_by", F.lit(m)), t) for m, t in to.items()}
     return rows.select(
-        "file_id",
-        "request_id",
-        "component_name",
-        "exported_at",
-        "line_no",
-        *cols.values(),
-        F.transform_values(rescued, lambda _, v: v["json"]).alias("rescued"),
-        F.col("kinds") if filled else F.transform_values("_fields", lambda _, v: v["kind"]).alias("kinds"),
+        *_IDS,
+        *[(F.coalesce(F.col(f"`{m}`"), v) if filled else v).alias(m) for m, v in value.items()],
+        (F.map_concat("typed", taken) if filled else F.when(F.col("fields").isNotNull(), taken)).alias("typed"),
+        kept.alias("rescued"),
+        (F.col("nulls") if filled else nulls).alias("nulls"),
     )
 
 
-def replay(ingested: DataFrame, names: DataFrame) -> DataFrame:
+def replay(ingested: DataFrame, names: DataFrame, to: Mapping[str, str]) -> DataFrame:
     """An ingested table with rescued values of approved names cast into typed columns that are null; raw files aren't read.
 
     A value that goes into a column leaves `rescued`; what is there already stays.
     """
-    rescued = F.transform_values("rescued", lambda k, v: F.struct(F.try_element_at("kinds", k).alias("kind"), v.alias("json")))
-    return _take(ingested, rescued, names, True)
+    plain = lambda e: F.when(e["value"]["kind"] == "array", e["value"]["json"]).otherwise(F.from_json(F.concat(F.lit("["), e["value"]["json"], F.lit("]")), "array<string>")[0])
+    fields = F.transform(F.map_entries("rescued"), lambda e: F.struct(e["key"].alias("name"), e["value"]["kind"].alias("kind"), e["value"]["json"].alias("json"), _plain(e["value"]["kind"], plain(e)).alias("text")))
+    return _take(ingested.withColumn("fields", fields), names, to, ingested)
 
 
 def ingest(raw: DataFrame, contract: DataFrame, names: DataFrame | None = None, read: DataFrame | None = None) -> DataFrame:
     """Every record of every file in one consistent table.
 
-    file_id, request_id, component_name, exported_at, line_no; one typed column per meaning of TARGET; rescued, a map from name
-    to JSON of the fields that no column took (unknown name, value that doesn't cast, second name of one meaning); kinds, a map
-    from name to JSON type of all fields. A null, broken or non-object record keeps its ids with nulls elsewhere. Rows delivered
-    twice are one record. `names` gives approvals; by default they are made from all of raw. Names of the contract are cast
-    first, then those approved otherwise are replayed.
+    file_id, request_id, component_name, exported_at, line_no; one typed column per meaning of the contract (texts unless TYPES
+    says otherwise); typed, a map from meaning to name and JSON type of the field in its column; rescued, a map from name to JSON
+    type and JSON of the fields that no column took (unknown name, value that doesn't cast, second name of one meaning); nulls,
+    the names of JSON nulls. A null, broken or non-object record keeps its ids with nulls elsewhere. Rows delivered twice are
+    one record. `names` gives approvals; by default they are made from all of raw. Names of the contract are cast first, then
+    rescued values of names approved otherwise are replayed.
     """
-    read = read if read is not None else cut(read_fields(raw))
-    names = names if names is not None else cut(approvals(read, contract))
-    return replay(_take(read, F.col("fields"), names.where("how = 'contract'"), False), names.where("how <> 'contract'"))
+    read = read if read is not None else written(read_fields(raw))
+    names = names if names is not None else written(approvals(read, contract))
+    to = target(contract)
+    return replay(_take(read, names.where("how = 'contract'"), to), names.where("how <> 'contract'"), to)
+
+
+def table_fields(ingested: DataFrame) -> DataFrame:
+    """(ids, name, kind, semantic) of every field in an ingested table: typed, rescued or null; a record without any has a null name."""
+    typed = F.transform(F.map_entries("typed"), lambda e: F.struct(e["value"]["name"].alias("name"), e["value"]["kind"].alias("kind"), e["key"].alias("semantic")))
+    rescued = F.transform(F.map_entries("rescued"), lambda e: F.struct(e["key"].alias("name"), e["value"]["kind"].alias("kind"), F.lit(None).cast("string").alias("semantic")))
+    nulls = F.transform("nulls", lambda n: F.struct(n.alias("name"), F.lit("null").alias("kind"), F.lit(None).cast("string").alias("semantic")))
+    return ingested.select(*_IDS, F.inline_outer(F.concat(typed, rescued, nulls)))
 
 
 def changes(ingested: DataFrame, names: DataFrame) -> DataFrame:
@@ -206,28 +238,29 @@ def changes(ingested: DataFrame, names: DataFrame) -> DataFrame:
     joined, where others mix; none where all are null, which is no change of type). A removed and an added name of one
     meaning are one `renamed`; names without a meaning stand for themselves by their spelling.
     """
-    per_field = (
-        ingested.select("file_id", F.explode("kinds").alias("name", "kind"))
-        .groupBy("file_id", "name")
-        .agg(F.array_sort(F.collect_set(F.when(F.col("kind") != "null", F.col("kind")))).alias("k"))
+    fields = (
+        table_fields(ingested)
+        .groupBy("request_id", "component_name", "file_id", "name")
+        .agg(F.array_sort(F.collect_set(F.when(F.col("kind") != "null", F.col("kind")))).alias("k"), F.min("semantic").alias("semantic"), F.min("exported_at").alias("at"))
         .withColumn("k", F.when(F.size(F.array_except("k", F.array(F.lit("integer"), F.lit("number")))) == 0, F.slice(F.reverse("k"), 1, 1)).otherwise(F.col("k")))
-        .select("file_id", "name", F.array_join("k", "|").alias("kind"))
+        .select("request_id", "component_name", "file_id", "name", "at", "semantic", F.array_join("k", "|").alias("kind"))
     )
-    files = ingested.groupBy("request_id", "component_name", "file_id").agg(F.min("exported_at").alias("at"))
+    fields = written(fields)
+    per_field = fields.where("name is not null").select("file_id", "name", "kind")
+    # A name means what its column means where it went into one, else what it was approved for.
+    means = fields.where("semantic is not null").select("name", "semantic").unionByName(names.select("name", "semantic")).groupBy("name").agg(F.min("semantic").alias("semantic"))
+    files = fields.groupBy("request_id", "component_name", "file_id").agg(F.min("at").alias("at"))
     order = Window.partitionBy("request_id", "component_name").orderBy("at", "file_id")
     steps = files.select("file_id", F.lag("file_id").over(order).alias("before")).where("before is not null")
-    per_field = cut(per_field)
-    steps = cut(steps)
     now = per_field.join(steps.select("file_id"), "file_id")
     was = steps.join(per_field.withColumnRenamed("file_id", "before"), "before").select("file_id", "name", F.col("kind").alias("old"))
     both = now.join(was, ["file_id", "name"], "full_outer")
     retyped = both.where("kind != '' and old != '' and kind != old").select("file_id", F.col("name").alias("field_name"), F.lit("retyped").alias("change_kind"), F.lit("").alias("new_name"))
     side = both.where("kind is null or old is null").select("file_id", "name", F.when(F.col("old").isNull(), "added").otherwise("removed").alias("change_kind"))
-    meant = side.join(names.select("name", "semantic"), "name", "left").withColumn("semantic", F.coalesce(F.concat(F.lit("="), "semantic"), spelled(F.col("name"))))
+    meant = side.join(means, "name", "left").withColumn("semantic", F.coalesce(F.concat(F.lit("="), "semantic"), spelled(F.col("name"))))
     nth = Window.partitionBy("file_id", "semantic", "change_kind").orderBy("name")
-    meant = cut(meant.withColumn("nth", F.row_number().over(nth)))
-    gone, new = meant.where("change_kind = 'removed'"), meant.where("change_kind = 'added'")
-    pair = gone.select("file_id", "semantic", "nth", F.col("name").alias("old_name")).join(new.select("file_id", "semantic", "nth", F.col("name").alias("now_name")), ["file_id", "semantic", "nth"], "full_outer")
+    meant = meant.withColumn("nth", F.row_number().over(nth))
+    pair = meant.groupBy("file_id", "semantic", "nth").agg(F.min(F.when(F.col("change_kind") == "removed", F.col("name"))).alias("old_name"), F.min(F.when(F.col("change_kind") == "added", F.col("name"))).alias("now_name"))
     moved = pair.select(
         "file_id",
         F.coalesce("old_name", "now_name").alias("field_name"),
@@ -238,7 +271,7 @@ def changes(ingested: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def drift_found(raw: DataFrame, contract: DataFrame) -> DataFrame:
-    """p5_found: (file_id, field_name, change_kind, new_name)."""
-    read = cut(read_fields(raw))
-    names = cut(approvals(read, contract))
-    return changes(ingest(raw, contract, names, read), names)
+    """p5_found: (file_id, field_name, change_kind, new_name), from the ingested table as it is written."""
+    read = written(read_fields(raw))
+    names = written(approvals(read, contract))
+    return changes(written(ingest(raw, contract, names, read)), names)

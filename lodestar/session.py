@@ -68,6 +68,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like `cut`, as a columnar table: readers take the columns they need, and the planner knows its size."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _shared_file(spark: SparkSession, uri: str):
     """The file system and the path of a URI."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)

@@ -2,6 +2,7 @@ import json
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.operators import drift as D
 
@@ -66,9 +67,9 @@ def test_one_table_with_rescue(spark, contract):
     raw = spark.createDataFrame(rows([{"User": "a", "Pid": "17", "Other": {"x": 1}, "Score": "high"}, {"AccountName": ["b"], "Pid": 18, "Tags": ["p", "q"]}]), RAW)
     got = {r.line_no: r for r in D.ingest(raw.withColumn("kinds", raw.file_id), contract).collect()}
     assert (got[1].user, got[1].pid, got[1].score) == ("a", 17, None)
-    assert json.loads(got[1].rescued["Other"]) == {"x": 1} and json.loads(got[1].rescued["Score"]) == "high"
+    assert {k: json.loads(v.json) for k, v in got[1].rescued.items()} == {"Other": {"x": 1}, "Score": "high"}
     assert (got[2].user, got[2].pid, got[2].tags) == ("b", 18, ["p", "q"]) and got[2].rescued == {}
-    assert got[1].kinds == {"User": "string", "Pid": "string", "Other": "object", "Score": "string"}
+    assert {m: tuple(v) for m, v in got[1].typed.items()} == {"user": ("User", "string"), "pid": ("Pid", "string")}
 
 
 def test_numbers_by_their_text(spark, contract):
@@ -87,16 +88,25 @@ def test_replay_fills_columns_of_an_earlier_table(spark, contract):
     early = D.ingest(raw, contract, names)
     assert [(r.user, r.pid) for r in early.orderBy("line_no").collect()] == [("a", None), (None, None), (None, None), (None, None), ("e", None)]
     later = spark.createDataFrame([("Owner", "user", "values"), ("Nr", "pid", "values"), ("A_User", "user", "values")], names.schema)
-    got = D.replay(early, later).orderBy("line_no").collect()
+    got = D.replay(early, later, D.target(contract)).orderBy("line_no").collect()
     assert [(r.user, r.pid) for r in got] == [("a", None), ("c", 7), (None, None), (None, None), ("e", None)]
-    assert [r.rescued for r in got] == [{"Owner": '"b"'}, {"Other": "1"}, {"Nr": '"no number"'}, None, {"A_User": '"d"'}]
+    assert [r.rescued and {k: v.json for k, v in r.rescued.items()} for r in got] == [{"Owner": '"b"'}, {"Other": "1"}, {"Nr": '"no number"'}, None, {"A_User": '"d"'}]
+    assert got[1].nulls == ["User"] and got[3].typed is None
     assert D.ingest(raw, contract, names.union(later)).orderBy("line_no").collect() == got
 
 
-def test_more_names_than_the_plan_holds(spark, contract, monkeypatch):
-    raw = spark.createDataFrame(rows([{"User": "a", "Pid": 5, "Other": 1}, {"zzz": "c", "yyy": 7}, None, {}, {"zzz": "d", "Pid": None}]), RAW)
-    names = spark.createDataFrame([("Pid", "pid", "contract"), ("User", "user", "contract"), ("yyy", "pid", "values"), ("zzz", "user", "values")], "name string, semantic string, how string")
-    want = D.ingest(raw, contract, names).orderBy("line_no").collect()
-    assert [(r.user, r.pid) for r in want] == [("a", 5), ("c", 7), (None, None), (None, None), ("d", None)]
-    monkeypatch.setattr(D, "LITERAL_NAMES", 1)
-    assert D.ingest(raw, contract, names).orderBy("line_no").collect() == want
+def test_columns_follow_the_contract(spark):
+    contract = spark.createDataFrame([(1, "A", "owner", "Owner"), (1, "A", "pid", "Pid"), (1, "A", None, "X")], "schema_version int, artifact string, semantic string, alias_name string")
+    got = D.ingest(spark.createDataFrame(rows([{"Owner": "a", "Pid": [7], "X": 1.50}]), RAW), contract)
+    assert {c: t for c, t in got.dtypes if c in ("owner", "pid", "user")} == {"owner": "string", "pid": "bigint"}
+    assert [(r.owner, r.pid, list(r.rescued)) for r in got.collect()] == [("a", 7, ["X"])]
+
+
+def test_report_is_made_from_the_table(spark, contract):
+    raw = spark.createDataFrame(rows([{"User": "a", "Pid": "x"}], [{"AccountName": "b", "Pid": 3, "New": None}]), RAW)
+    names = D.approvals(D.read_fields(raw), contract)
+    table = D.ingest(raw, contract, names)
+    lost = table.withColumn("rescued", F.map_filter("rescued", lambda k, _: F.lit(False)))
+    whole = {tuple(r) for r in D.changes(table, names).collect()}
+    assert whole == {(2, "User", "renamed", "AccountName"), (2, "Pid", "retyped", ""), (2, "New", "added", "")}
+    assert {tuple(r) for r in D.changes(lost, names).collect()} == {(2, "User", "renamed", "AccountName"), (2, "Pid", "added", ""), (2, "New", "added", "")}
