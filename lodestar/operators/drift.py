@@ -5,8 +5,6 @@ unknown or doesn't cast stays as JSON in a rescue column. Unknown names are then
 like a known one, and names whose values look like those of one known meaning. Rescued values of approved names are
 replayed into the typed columns. The change report is made from the ingested table: what went into a typed column, what was
 rescued and what was null in each file, compared from file to file.
-
-Names get their meaning once per distinct set of names, not per record, by a join; no list of names is part of the plan.
 """
 
 from __future__ import annotations
@@ -27,6 +25,8 @@ TYPES = {
 }
 #: Least likeness (cosine of value shapes) and lead over the next meaning for a name to be approved by its values.
 LIKENESS, LEAD = 0.6, 0.1
+#: Up to so many approved names are written into the plan; more are joined.
+LITERAL_NAMES = 1000
 _IDS = ("file_id", "request_id", "component_name", "exported_at", "line_no")
 
 
@@ -60,21 +60,32 @@ def _plain(kind: Column, raw: Column) -> Column:
     return F.when(kind == "array", F.when(F.size(listed) == 1, listed[0])).when(~kind.isin("object", "null"), raw)
 
 
+def _json(kind: Column, raw: Column) -> Column:
+    """The JSON of a value: its raw text, quoted if it is a string."""
+    listed = F.to_json(F.array(raw))
+    return F.when(kind == "string", F.substring(listed, 2, F.length(listed) - 2)).otherwise(raw)
+
+
+def _raw(kind: Column, json: Column) -> Column:
+    """The opposite."""
+    return F.when(kind == "string", F.from_json(F.concat(F.lit("["), json, F.lit("]")), "array<string>")[0]).otherwise(json)
+
+
 def read_fields(raw: DataFrame) -> DataFrame:
-    """Records once each (by file_id and line_no) with `fields`, sorted by name: (name, kind, json, text).
+    """Records once each (by file_id and line_no) with `fields`: name, kind and raw, the plain text of a string and the JSON of all else.
 
-    `fields` is null where record_json is no object; text is the plain text of single values.
+    `fields` is null where record_json is no object.
     """
     once = raw.select(*_IDS, "record_json").distinct()
     once = once.withColumns({"_v": F.from_json("record_json", T.MapType(T.StringType(), T.VariantType())), "_t": F.from_json("record_json", "map<string,string>")})
     zipped = F.arrays_zip(F.map_keys("_v").alias("name"), F.map_values("_v").alias("v"), F.map_values("_t").alias("raw"))
-    kinds = F.transform(zipped, lambda e: F.struct(e["name"].alias("name"), _kind(e["v"], e["raw"]).alias("kind"), F.to_json(e["v"]).alias("json"), e["raw"].alias("raw")))
-    fields = F.transform("_k", lambda e: F.struct(e["name"].alias("name"), e["kind"].alias("kind"), e["json"].alias("json"), _plain(e["kind"], e["raw"]).alias("text")))
-    return once.withColumn("_k", kinds).withColumn("fields", F.array_sort(fields)).select(*_IDS, "fields")
+    fields = F.transform(zipped, lambda e: F.struct(e["name"].alias("name"), _kind(e["v"], e["raw"]).alias("kind"), e["raw"].alias("raw")))
+    return once.select(*_IDS, fields.alias("fields"))
 
 
-def _shape(kind: Column, json: Column, text: Column) -> Column:
+def _shape(kind: Column, raw: Column) -> Column:
     """What a value looks like: its type, coarse size and pattern; a list of one counts as what it holds."""
+    text = _plain(kind, raw)
     bare = F.regexp_replace(text, r"\s", "")
     size = F.concat(F.lit("integer:"), F.length(bare))
     digits = F.concat(F.lit("number:"), F.length(F.substring_index(bare, ".", -1)))
@@ -82,7 +93,7 @@ def _shape(kind: Column, json: Column, text: Column) -> Column:
         F.when(kind == "integer", size)
         .when(kind == "boolean", "boolean")
         .when(kind == "object", "object")
-        .when(text.isNull(), F.concat(F.lit("list:"), F.when(json.rlike(r'^\["[A-Za-z]+"'), "word").otherwise("other")))
+        .when(text.isNull(), F.concat(F.lit("list:"), F.when(raw.rlike(r'^\["[A-Za-z]+"'), "word").otherwise("other")))
         .when(bare.rlike(r"^-?\d+$"), size)
         .when(bare.rlike(r"^-?\d+\.\d+$"), digits)
         .when(kind == "number", "number")
@@ -106,7 +117,7 @@ def approvals(read: DataFrame, contract: DataFrame) -> DataFrame:
     by_name = known.groupBy("name").agg(F.min("semantic").alias("by_name"))
     by_spelling = known.groupBy(spelled(F.col("name")).alias("spelling")).agg(F.min("semantic").alias("by_spelling"))
     values = read.select(F.inline("fields"))
-    seen = F.when(F.col("kind") != "null", _shape(F.col("kind"), F.col("json"), F.col("text")))
+    seen = F.when(F.col("kind") != "null", _shape(F.col("kind"), F.col("raw")))
     shapes = written(values.groupBy("name", seen.alias("shape")).agg(F.count("*").alias("n")))
     names = shapes.select("name").unionByName(by_name.select("name")).distinct()
     given = written(
@@ -128,14 +139,15 @@ def approvals(read: DataFrame, contract: DataFrame) -> DataFrame:
     return given.where("semantic is not null").unionByName(by_values)
 
 
-def _castable(semantic: Column, kind: Column, text: Column, to: Mapping[str, str]) -> Column:
+def _castable(semantic: Column, kind: Column, raw: Column, to: Mapping[str, str]) -> Column:
     """Whether a value goes into the column of its meaning; a JSON null is no value."""
 
     def of(kinds: str) -> Column:
         return semantic.isin(*[m for m, t in to.items() if t == kinds])
 
-    out = F.when(kind == "null", F.lit(False)).when(of("array<string>"), (kind == "array") | text.isNotNull())
-    out = out.when(of("map<string,string>"), kind == "object").when(of("string"), text.isNotNull())
+    text = _plain(kind, raw)
+    out = F.when(semantic.isNull() | (kind == "null"), F.lit(False)).when(of("string"), text.isNotNull())
+    out = out.when(of("array<string>"), kind != "object").when(of("map<string,string>"), kind == "object")
     for t in sorted({t for t in to.values() if t not in ("array<string>", "map<string,string>", "string")}):
         out = out.when(of(t), text.try_cast(t).isNotNull())
     return F.coalesce(out, F.lit(False))
@@ -143,54 +155,54 @@ def _castable(semantic: Column, kind: Column, text: Column, to: Mapping[str, str
 
 def _value(field: Column, to: str) -> Column:
     """A castable field in the type of its column."""
-    kind, json, text = field["kind"], field["json"], field["text"]
+    kind, raw = field["kind"], field["raw"]
     if to == "array<string>":
-        return F.when(kind == "array", F.from_json(json, to)).when(text.isNotNull(), F.array(text))
+        return F.when(kind == "array", F.from_json(raw, to)).when(raw.isNotNull(), F.array(raw))
     if to.startswith("map"):
-        return F.from_json(json, to)
-    return text if to == "string" else text.try_cast(to)
+        return F.from_json(raw, to)
+    return _plain(kind, raw) if to == "string" else _plain(kind, raw).try_cast(to)
 
 
 def _with_meanings(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """rows with `_meaning`, name to semantic of those names in `fields` that `names` knows.
+    """rows with `_meaning`, name to semantic of (at least) those names in `fields` that `names` knows.
 
-    Records have few different sets of names: each set is looked up once, and joined by the whole set.
+    Few names are a constant of the plan; more are looked up once per distinct set of names and joined by the whole set.
     """
-    rows = rows.withColumn("_names", F.transform("fields", lambda e: e["name"]))
     one = names.groupBy("name").agg(F.min("semantic").alias("semantic"))
+    few = one.limit(LITERAL_NAMES + 1).collect()
+    if len(few) <= LITERAL_NAMES:
+        pairs = [F.lit(x) for r in few for x in (r["name"], r["semantic"])]
+        return rows.withColumn("_meaning", F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>"))
+    rows = rows.withColumn("_names", F.array_sort(F.transform("fields", lambda e: e["name"])))
     sets = rows.select("_names").distinct()
     known = sets.select("_names", F.explode(F.array_distinct("_names")).alias("name")).join(one, "name")
     known = known.groupBy("_names").agg(F.map_from_entries(F.collect_list(F.struct("name", "semantic"))).alias("_meaning"))
-    # Written first, so that the planner knows how small it is and leaves the rows where they are.
-    return rows.join(written(known), "_names", "left").drop("_names")
+    return rows.join(known, "_names", "left").drop("_names")
 
 
-def _take(rows: DataFrame, names: DataFrame, to: Mapping[str, str], before: DataFrame | None = None) -> DataFrame:
+def _take(rows: DataFrame, names: DataFrame, to: Mapping[str, str], filled: bool = False) -> DataFrame:
     """rows with the typed columns taken from `fields` by names; of several names of one meaning the first that casts.
 
-    With `before`, an ingested table's columns are in rows too, and only its null columns are filled.
+    Where `filled`, rows are an ingested table, and only its null columns are filled.
     """
-    filled = before is not None
     rows = _with_meanings(rows, names)
-    meant = F.transform("fields", lambda e: F.struct(F.try_element_at("_meaning", e["name"]).alias("semantic"), e["name"].alias("name"), e["kind"].alias("kind"), e["json"].alias("json"), e["text"].alias("text")))
+    meant = F.transform("fields", lambda e: F.struct(F.try_element_at("_meaning", e["name"]).alias("semantic"), e["name"].alias("name"), e["kind"].alias("kind"), e["raw"].alias("raw")))
     rows = rows.withColumn("_meant", meant)
     free = (lambda m: ~F.array_contains(F.map_keys("typed"), m)) if filled else (lambda m: F.lit(True))
-    ok = F.filter("_meant", lambda e: _castable(e["semantic"], e["kind"], e["text"], to) & free(e["semantic"]))
-    rows = rows.withColumn("_ok", F.coalesce(F.array_sort(ok), F.array().cast(rows.schema["_meant"].dataType)))
+    ok = F.filter("_meant", lambda e: _castable(e["semantic"], e["kind"], e["raw"], to) & free(e["semantic"]))
+    rows = rows.withColumn("_ok", F.array_sort(ok))  # by meaning, then name
     first = F.filter("_ok", lambda e, i: (i == 0) | (F.try_element_at("_ok", F.greatest(i, F.lit(1)))["semantic"] != e["semantic"]))
-    rows = rows.withColumn("_first", first).withColumn("_by", F.map_from_arrays(F.transform("_first", lambda e: e["semantic"]), F.col("_first")))
+    rows = rows.withColumn("_first", first)
+    rows = rows.withColumns({"_by": F.map_from_arrays(F.transform("_first", lambda e: e["semantic"]), F.col("_first")), "_used": F.transform("_first", lambda e: e["name"])})
     taken = F.transform_values("_by", lambda _, e: F.struct(e["name"].alias("name"), e["kind"].alias("kind")))
-    used = F.transform("_first", lambda e: e["name"])
     left = F.filter("fields", lambda e: ~F.array_contains(F.col("_used"), e["name"]) & (e["kind"] != "null"))
-    kept = F.map_from_entries(F.transform(left, lambda e: F.struct(e["name"], F.struct(e["kind"].alias("kind"), e["json"].alias("json")))))
+    kept = F.map_from_entries(F.transform(left, lambda e: F.struct(e["name"], F.struct(e["kind"].alias("kind"), _json(e["kind"], e["raw"]).alias("json")))))
     nulls = F.transform(F.filter("fields", lambda e: e["kind"] == "null"), lambda e: e["name"])
-    # Columns of their own: inside the lambdas of the select below, the names of columns would mean their new values.
-    rows = rows.withColumn("_used", used)
     value = {m: _value(F.try_element_at("_by", F.lit(m)), t) for m, t in to.items()}
     return rows.select(
         *_IDS,
         *[(F.coalesce(F.col(f"`{m}`"), v) if filled else v).alias(m) for m, v in value.items()],
-        (F.map_concat("typed", taken) if filled else F.when(F.col("fields").isNotNull(), taken)).alias("typed"),
+        (F.map_concat("typed", taken) if filled else taken).alias("typed"),
         kept.alias("rescued"),
         (F.col("nulls") if filled else nulls).alias("nulls"),
     )
@@ -201,9 +213,8 @@ def replay(ingested: DataFrame, names: DataFrame, to: Mapping[str, str]) -> Data
 
     A value that goes into a column leaves `rescued`; what is there already stays.
     """
-    plain = lambda e: F.when(e["value"]["kind"] == "array", e["value"]["json"]).otherwise(F.from_json(F.concat(F.lit("["), e["value"]["json"], F.lit("]")), "array<string>")[0])
-    fields = F.transform(F.map_entries("rescued"), lambda e: F.struct(e["key"].alias("name"), e["value"]["kind"].alias("kind"), e["value"]["json"].alias("json"), _plain(e["value"]["kind"], plain(e)).alias("text")))
-    return _take(ingested.withColumn("fields", fields), names, to, ingested)
+    fields = F.transform(F.map_entries("rescued"), lambda e: F.struct(e["key"].alias("name"), e["value"]["kind"].alias("kind"), _raw(e["value"]["kind"], e["value"]["json"]).alias("raw")))
+    return _take(ingested.withColumn("fields", fields), names, to, True)
 
 
 def ingest(raw: DataFrame, contract: DataFrame, names: DataFrame | None = None, read: DataFrame | None = None) -> DataFrame:
