@@ -37,3 +37,12 @@ def copies_found(rules: DataFrame, known: DataFrame) -> DataFrame:
         part = collapse(keyed)[0].select(F.lit(name).alias("table_name"), "first_id", F.col("id").alias("copy_id"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def records_collapsed(rules: DataFrame, known: DataFrame) -> DataFrame:
+    """(table_name, first_id, copies): one record each, by the smallest id of its copies, with their exact number."""
+    out = None
+    for name, keyed in (("golden_rules", rule_keys(rules)), ("autoruns_known_good", hash_keys(known))):
+        part = collapse(keyed)[1].select(F.lit(name).alias("table_name"), "first_id", F.col("n").alias("copies"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ LEXICON_WORDS = 50_000
 _SCHEMA = "doc_id bigint, ids array<int>"
 
 
+@lru_cache(maxsize=2)
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to rank, from a file of base64 tokens and ranks."""
     with open(path, "rb") as f:
@@ -77,20 +79,22 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def frequent_pieces(texts: DataFrame, column: str, most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent pieces over all texts, at most `most`; of equally frequent ones all or none.
+    """The most frequent pieces over all texts, at most `most`; of about equally frequent ones all or none.
 
     Cut in the JVM by nearly the same pattern: a difference only puts a piece in or out of the lexicon.
     """
     pieces = texts.select(F.explode(F.regexp_extract_all(F.col(column), F.lit(r"(?: ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+)"), F.lit(0))).alias("w"))
     counts = cut(pieces.where("length(w) <= 64").groupBy("w").count().where("count > 1"))
-    # The least count that leaves no more than `most`: counts are few, so the driver sees no more pieces than it keeps.
-    above, least = 0, 1
-    for r in counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).collect():
+    # Counts are told apart to a sixteenth of an octave, so that the driver sees a bounded number of rows; of pieces in the
+    # class that no longer fits none is kept.
+    size = F.floor(F.log2("count") * 16)
+    above, least = 0, -1
+    for r in counts.groupBy(size.alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect():
         above += r["n"]
         if above > most:
-            least = r["count"]
+            least = r["size"]
             break
-    return [r["w"] for r in counts.where(F.col("count") > least).select("w").collect()]
+    return [r["w"] for r in counts.where(size > least).select("w").collect()]
 
 
 def publish(spark: SparkSession, data: bytes, stem: str) -> str:
@@ -101,11 +105,11 @@ def publish(spark: SparkSession, data: bytes, stem: str) -> str:
 
 
 def encoder(lexicon_file: str, vocabulary: str):
-    """The mapInArrow function of one lexicon and vocabulary file."""
+    """The mapInArrow function of one lexicon and one vocabulary, both files handed to the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon(SparkFiles.get(lexicon_file))
-        ranks = load_ranks(vocabulary)
+        ranks = load_ranks(SparkFiles.get(vocabulary))
         split = regex.compile(PIECES).findall
         for b in batches:
             texts = b.column(1).to_pylist()
@@ -153,10 +157,12 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Text that looks like a special token is ordinary text. Empty and null texts give an empty list. Rows are kept as they
     are, repeated ids and null ids included; other columns are ignored. Texts longer than a task's memory can't be rows of a
-    table; anything less is encoded whole. `vocabulary` must be readable on every executor.
+    table; anything less is encoded whole. `vocabulary` is read on the driver and handed to the executors.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranks = load_ranks(vocabulary)
     lexicon = compile_lexicon((w.encode(), merge(w.encode(), ranks)) for w in frequent_pieces(d, "text"))
-    return d.mapInArrow(encoder(publish(spark, lexicon, "lexicon"), vocabulary), _SCHEMA)
+    with open(vocabulary, "rb") as f:
+        words = publish(spark, f.read(), "vocabulary")
+    return d.mapInArrow(encoder(publish(spark, lexicon, "lexicon"), words), _SCHEMA)

@@ -8,6 +8,7 @@ language of most of their words, documents that of most of their prose sentences
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,13 +30,14 @@ SEEDS = {
     "pt": "o os as e que em uma não do da de para com foi na no",
     "ru": "и в не на что с по как это из",
 }
-LANGS = tuple(SEEDS)
+#: What no language in use explains: other scripts, letters that Russian lacks, words without any evidence.
+NONE = "und"
+LANGS = (*SEEDS, NONE)
 _AT = {x: i for i, x in enumerate(LANGS)}
 #: Three-letter codes of these languages (terminological and bibliographic).
 THREE = {"deu": "de", "ger": "de", "eng": "en", "spa": "es", "fra": "fr", "fre": "fr", "ita": "it", "jpn": "ja", "nld": "nl", "dut": "nl", "por": "pt", "rus": "ru"}
-#: Labelled rows looked at to train (those with the smallest hash of their id), and words kept of them.
-TRAIN_ROWS = 5000
-TRAIN_WORDS = 30_000
+#: Labelled rows looked at to train: those with the smallest hash of their id, of texts of up to so many characters.
+TRAIN_ROWS, TRAIN_CHARS = 5000, 20_000
 #: Nats that a change of language must gain.
 SWITCH = 5.0
 _CLIP = 6.0
@@ -50,25 +52,31 @@ _NOT_PROSE = re.compile(
     r"^\s*(?:[|#=\[{}$]|\d{4}-\d\d-\d\d[T ]\d\d:|(?:[A-Za-z]:\\|/|%\w+%)\S*|\w+=\S+[;,]\w+=|\"?[A-Za-z]:\\|-{3,}|```)"
 )
 _JA = re.compile(r"[぀-ヿㇰ-ㇿ㐀-鿿ｦ-ﾟ]")
+_KANA = re.compile(r"[぀-ヿㇰ-ㇿｦ-ﾟ]")
 _CYRILLIC = re.compile(r"[Ѐ-ԯ]")
+#: Cyrillic letters that Russian doesn't have; scripts of none of the languages.
+_NOT_RUSSIAN = re.compile(r"[ѐђ-џѠ-ԯ]")
+_OTHER = re.compile(r"[\u0370-\u03ff\u0530-\u1cff\u1f00-\u1fff\uac00-\ud7af\ufb1d-\ufdff\ufe70-\ufefc]")
+#: Ideographs in a row that Japanese seldom has without kana.
+_IDEOGRAPHS = 8
 #: A token of letters only, or with inner apostrophes, counts as a word of prose; paths, flags, file names and ids don't.
 _TOKEN = re.compile(r"[\"'“”‘’«»(\[*_]*[^\W\d_]+(?:['’\-][^\W\d_]+)*[\"'“”‘’«»)\].,;:!?*_…]*")
 _MIN_WORDS = 3
 _MIN_JA = 6
 
 
-def sentences(text: str) -> Iterator[tuple[int, str, bool]]:
-    """(paragraph number, sentence, complete) of the prose of a text; complete ones end with a sign.
+def sentences(text: str) -> Iterator[tuple[int, str, bool, int, int]]:
+    """(paragraph number, sentence, complete, first line, last line) of the prose of a text; complete ones end with a sign.
 
-    Paragraphs are parted by lines of white space only and numbered from 1. Marks of quotes, lists and speakers are taken off
-    the lines, wrapped lines are joined; lines that are no prose part what is around them.
+    Paragraphs are parted by lines of white space only; they and the lines are numbered from 1. Marks of quotes, lists and
+    speakers are taken off the lines, wrapped lines are joined; lines that are no prose part what is around them.
     """
-    para, buf, blank = 0, [], True
-    for line in [*_PARA.split(text), ""]:
+    para, buf, lines, blank = 0, [], [], True
+    for at, line in enumerate([*_PARA.split(text), ""], 1):
         if not line.strip():
             if buf:
-                yield from _cut(para, " ".join(buf))
-                buf = []
+                yield from _cut(para, buf, lines)
+                buf, lines = [], []
             blank = True
             continue
         if blank:
@@ -77,12 +85,13 @@ def sentences(text: str) -> Iterator[tuple[int, str, bool]]:
         spoken = plain is not line and "<" in line[:3]
         if _prose(plain):
             if spoken and buf:
-                yield from _cut(para, " ".join(buf))
-                buf = []
+                yield from _cut(para, buf, lines)
+                buf, lines = [], []
             buf.append(plain.strip())
+            lines.append(at)
         elif buf and plain.strip():
-            yield from _cut(para, " ".join(buf))
-            buf = []
+            yield from _cut(para, buf, lines)
+            buf, lines = [], []
 
 
 class _Words(dict):
@@ -110,15 +119,22 @@ def _prose(line: str) -> bool:
     return 2 * sum(map(bool, map(_word_of.__getitem__, parts))) >= len(parts)
 
 
-def _cut(para: int, text: str) -> Iterator[tuple[int, str, bool]]:
-    at = 0
+def _cut(para: int, buf: list[str], lines: list[int]) -> Iterator[tuple[int, str, bool, int, int]]:
+    text, at = " ".join(buf), 0
+    begins = [0]
+    for part in buf[:-1]:
+        begins.append(begins[-1] + len(part) + 1)
+
+    def line(place: int) -> int:
+        return lines[bisect_right(begins, place) - 1]
+
     for m in _END.finditer(text):
         s = text[at : m.end()].strip()
-        at = m.end()
         if s:
-            yield para, s, True
+            yield para, s, True, line(at + (at > 0)), line(m.end() - 1)
+        at = m.end()
     if text[at:].strip():
-        yield para, text[at:].strip(), False
+        yield para, text[at:].strip(), False, line(at + (at > 0)), lines[-1]
 
 
 def prose_words(sentence: str) -> list[str]:
@@ -137,7 +153,7 @@ def label_code(label: str | None) -> str | None:
     """The two-letter code that a label names, of the languages in use; case, blanks, region and a three-letter code apart."""
     x = re.split(r"[-_]", (label or "").strip().lower())[0]
     x = THREE.get(x, x)
-    return x if x in _AT else None
+    return x if x in SEEDS else None
 
 
 @dataclass
@@ -149,10 +165,13 @@ class Model:
     letters: dict[str, np.ndarray]
 
     def score(self, word: str) -> np.ndarray:
-        if _JA.search(word):
-            return _only("ja")
-        if _CYRILLIC.search(word):
-            return _only("ru")
+        if not word.isascii():
+            if _OTHER.search(word):
+                return _only(NONE)
+            if _JA.search(word):
+                return _only("ja", -8.0) if _KANA.search(word) else _only("ja", 0.5) if len(word) <= _IDEOGRAPHS else _only(NONE)
+            if _CYRILLIC.search(word):
+                return _only(NONE if _NOT_RUSSIAN.search(word) else "ru", 1.0)
         i = self.index.get(word)
         if i is not None:
             return self.scores[i]
@@ -168,22 +187,26 @@ class Model:
         return _LATIN
 
 
-def _only(lang: str) -> np.ndarray:
+def _only(lang: str, none: float = 0.0) -> np.ndarray:
+    """For one language; `none` says how much the word would suit an unknown one."""
     out = np.full(len(LANGS), -8.0)
+    out[_AT[NONE]] = none
     out[_AT[lang]] = 2.0
     return out
 
 
+#: No opinion: a word of Latin letters; what has no evidence at all is undetermined.
 _LATIN = np.zeros(len(LANGS))
 _LATIN[[_AT["ja"], _AT["ru"]]] = -8.0
+_LATIN[_AT[NONE]] = 0.01
 
 
-def _estimate(counts: dict[str, np.ndarray], most: int) -> Model:
+def _estimate(counts: dict[str, np.ndarray]) -> Model:
     total = np.zeros(len(LANGS))
     for c in counts.values():
         total += c
-    latin = [i for i, x in enumerate(LANGS) if x not in ("ja", "ru")]
-    kept = sorted(counts, key=lambda w: (-counts[w].sum(), w))[:most]
+    latin = [i for i, x in enumerate(LANGS) if x not in ("ja", "ru", NONE)]
+    kept = sorted(counts)
     letters: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(LANGS)))
     scores = np.zeros((len(kept), len(LANGS)))
     typical = max(total[latin].max(), 1.0)
@@ -204,7 +227,7 @@ def _estimate(counts: dict[str, np.ndarray], most: int) -> Model:
     return Model({w: i for i, w in enumerate(kept)}, scores, by_letter)
 
 
-def train(rows: list[tuple[str | None, str | None]], rounds: int = 3, most: int = TRAIN_WORDS) -> Model:
+def train(rows: list[tuple[str | None, str | None]], rounds: int = 3) -> Model:
     """A word model from (label, text) rows: seeded, then re-estimated on sentences as the model itself labels them.
 
     Labels only tip the scales, less from round to round, so wrong ones lose against a sentence's own words.
@@ -213,12 +236,12 @@ def train(rows: list[tuple[str | None, str | None]], rounds: int = 3, most: int
     for lang, ws in SEEDS.items():
         for w in ws.split():
             seeds[w][_AT[lang]] += 20
-    model = _estimate(dict(seeds), most)
+    model = _estimate(dict(seeds))
     code: dict[str, int] = {}
     seq, sizes, labels = [], [], []
     for label, text in rows:
         lang = label_code(label)
-        for _, s, _ in sentences(text) if text else ():
+        for _, s, *_ in sentences(text) if text else ():
             if ws := prose_words(s):
                 seq += [code.setdefault(w, len(code)) for w in ws]
                 sizes.append(len(ws))
@@ -239,7 +262,7 @@ def train(rows: list[tuple[str | None, str | None]], rounds: int = 3, most: int
         counts = {w: table[i] for w, i in code.items()}
         for w, c in seeds.items():
             counts[w] = counts.get(w, 0) + c / 10
-        model = _estimate({w: c for w, c in counts.items() if c.sum() > 0}, most)
+        model = _estimate({w: c for w, c in counts.items() if c.sum() > 0})
     return model
 
 
@@ -280,83 +303,128 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty
 
 
 _SCHEMA = "doc_id bigint, para_no bigint, lang string, sentences int, words int, confidence double, main boolean"
+_SEGMENTS = "doc_id bigint, segment_no int, para_no bigint, first_line int, last_line int, lang string, words int, confidence double"
 
 
-def labeller(model: Model):
-    """The mapInArrow function (doc_id, text) to spans; see label_spans."""
+def _slices(batches: Iterator[pa.RecordBatch], rows_of, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows that rows_of(ids, texts) makes of slices of (doc_id, text) batches, so that very long texts don't pile up."""
+    for b in batches:
+        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+        at = 0
+        while at < len(texts):
+            size, z = 0, at
+            while z < len(texts) and (z == at or size + len(texts[z] or "") <= 4_000_000):
+                size += len(texts[z] or "")
+                z += 1
+            rows = rows_of(ids[at:z], texts[at:z])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            at = z
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                size, z = 0, at
-                while z < len(texts) and (z == at or size + len(texts[z] or "") <= 4_000_000):
-                    size += len(texts[z] or "")
-                    z += 1
-                rows = slice_spans(ids[at:z], texts[at:z])
-                if rows:
-                    c = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32()), pa.array(c[5], pa.float64()), pa.array(c[6], pa.bool_())],
-                        names=["doc_id", "para_no", "lang", "sentences", "words", "confidence", "main"],
-                    )
-                at = z
-
-    def slice_spans(ids, texts):
-        code: dict[str, int] = {}
-        seq: list[int] = []
-        sent: list[tuple[int, int, int]] = []  # document, paragraph, words; only full sentences
-        n_doc = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            for para, s, complete in sentences(t) if t else ():
-                ws = prose_words(s)
-                if not is_full(ws, complete):
-                    continue
+
+@dataclass
+class _Labelled:
+    """The words of a slice of documents by sentence, with the Viterbi state of each."""
+
+    sent: list[tuple[int, int, int, bool, int, int]]  # document, paragraph, words, full, first line, last line
+    scores: np.ndarray
+    path: np.ndarray
+    starts: np.ndarray
+
+    def confidence(self, starts: np.ndarray, sizes: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """The model's probability of a language for runs of words, evened out by length."""
+        soft = np.add.reduceat(self.scores, starts) / np.sqrt(sizes)[:, None]
+        soft = np.exp(soft - soft.max(1, keepdims=True))
+        return soft[np.arange(len(sizes)), lang] / soft.sum(1)
+
+
+def _label(model: Model, texts: list[str | None]) -> _Labelled | None:
+    """All prose sentences with words, full or not; None if there are none."""
+    code: dict[str, int] = {}
+    seq: list[int] = []
+    sent = []
+    n_doc = np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        for para, s, complete, first, last in sentences(t) if t else ():
+            if ws := prose_words(s):
                 seq += [code.setdefault(w, len(code)) for w in ws]
-                sent.append((i, para, len(ws)))
+                sent.append((i, para, len(ws), is_full(ws, complete), first, last))
                 n_doc[i] += len(ws)
-        if not sent:
-            return []
-        table = np.array([model.score(w) for w in code])
-        scores = table[np.array(seq)]
-        path = viterbi(scores, np.cumsum(n_doc) - n_doc, n_doc)
-        n = np.array([s[2] for s in sent])
-        starts = np.cumsum(n) - n
-        votes = np.add.reduceat(np.eye(len(LANGS))[path], starts)
-        sums = np.add.reduceat(scores, starts)
-        lang = (votes + 1e-6 * sums).argmax(1)
-        # Confidence of a sentence: the model's probability of its language, evened out by length.
-        soft = sums / np.sqrt(n)[:, None]
-        soft = np.exp(soft - soft.max(1, keepdims=True))
-        conf = soft[np.arange(len(n)), lang] / soft.sum(1)
+    if not sent:
+        return None
+    scores = np.array([model.score(w) for w in code])[np.array(seq)]
+    n = np.array([x[2] for x in sent])
+    return _Labelled(sent, scores, viterbi(scores, np.cumsum(n_doc) - n_doc, n_doc), np.cumsum(n) - n)
+
+
+def labeller(model: Model):
+    """The mapInArrow function (doc_id, text) to languages of documents and paragraphs; see label_spans."""
+
+    def rows_of(ids, texts):
+        got = _label(model, texts)
         groups: dict[int, dict[tuple[int, int], list[float]]] = defaultdict(dict)
-        for (i, para, m), g, c in zip(sent, lang.tolist(), conf.tolist(), strict=True):
-            e = groups[i].setdefault((para, g), [0, 0, 0.0])
-            e[0] += 1
-            e[1] += m
-            e[2] += c
+        if got:
+            n = np.array([x[2] for x in got.sent])
+            votes = np.add.reduceat(np.eye(len(LANGS))[got.path], got.starts)
+            lang = (votes + 1e-6 * np.add.reduceat(got.scores, got.starts)).argmax(1)
+            conf = got.confidence(got.starts, n, lang)
+            full = {x[0] for x in got.sent if x[3]}
+            for (i, para, m, whole, _, _), g, c in zip(got.sent, lang.tolist(), conf.tolist(), strict=True):
+                if whole or i not in full:  # broken sentences only count where there are no others
+                    e = groups[i].setdefault((para, g), [0, 0, 0.0, 0])
+                    for k, x in enumerate((1, m, c, whole)):
+                        e[k] += x
         out = []
-        for i, spans in groups.items():
-            total: Counter = Counter()
-            weight: Counter = Counter()
-            for (_, g), (k, m, _) in spans.items():
+        for i, doc in enumerate(ids):
+            total, weight, full_ones, sure = Counter(), Counter(), Counter(), Counter()
+            for (_, g), (k, m, c, f) in groups[i].items():
                 total[g] += k
                 weight[g] += m
-            main = max(total, key=lambda g: (total[g], weight[g], -g))
-            k_main = total[main]
-            c_main = sum(c for (_, g), (_, _, c) in spans.items() if g == main) / k_main
-            out.append((ids[i], 0, LANGS[main], k_main, weight[main], c_main * k_main / sum(total.values()), True))
-            out += [(ids[i], para, LANGS[g], int(k), int(m), c / k, g == main) for (para, g), (k, m, c) in spans.items()]
+                full_ones[g] += f
+                sure[g] += c
+            known = [g for g in total if LANGS[g] != NONE] or list(total)
+            if not known:
+                out.append((doc, 0, NONE, 0, 0, 0.0, True))
+                continue
+            main = max(known, key=lambda g: (total[g], weight[g], -g))
+            out.append((doc, 0, LANGS[main], full_ones[main], weight[main], sure[main] / sum(total.values()), True))
+            out += [(doc, para, LANGS[g], f, m, c / k, g == main) for (para, g), (k, m, c, f) in groups[i].items()]
         return out
 
-    return run
+    schema = pa.schema([("doc_id", pa.int64()), ("para_no", pa.int64()), ("lang", pa.string()), ("sentences", pa.int32()), ("words", pa.int32()), ("confidence", pa.float64()), ("main", pa.bool_())])
+    return lambda batches: _slices(batches, rows_of, schema)
+
+
+def segmenter(model: Model):
+    """The mapInArrow function (doc_id, text) to stretches of one language; see label_segments."""
+
+    def rows_of(ids, texts):
+        got = _label(model, texts)
+        if not got:
+            return []
+        n = np.array([x[2] for x in got.sent])
+        doc = np.repeat([x[0] for x in got.sent], n)
+        of = np.repeat(np.arange(len(n)), n)
+        at = np.flatnonzero(np.concatenate([[True], (got.path[1:] != got.path[:-1]) | (doc[1:] != doc[:-1])]))
+        sizes = np.diff(np.concatenate([at, [len(doc)]]))
+        lang = got.path[at].astype(int)
+        conf = got.confidence(at, sizes, lang)
+        out, now, no = [], -1, 0
+        for a, m, g, c in zip(at.tolist(), sizes.tolist(), lang.tolist(), conf.tolist(), strict=True):
+            first, last = got.sent[of[a]], got.sent[of[a + m - 1]]
+            no = no + 1 if first[0] == now else 1
+            now = first[0]
+            out.append((ids[now], no, first[1], first[4], last[5], LANGS[g], m, c))
+        return out
+
+    schema = pa.schema([("doc_id", pa.int64()), ("segment_no", pa.int32()), ("para_no", pa.int64()), ("first_line", pa.int32()), ("last_line", pa.int32()), ("lang", pa.string()), ("words", pa.int32()), ("confidence", pa.float64())])
+    return lambda batches: _slices(batches, rows_of, schema)
 
 
 def training_rows(docs: DataFrame, limit: int = TRAIN_ROWS) -> list[tuple[str | None, str | None]]:
-    """Up to `limit` labelled rows, those with the smallest hash of their id."""
+    """Up to `limit` labelled rows, those with the smallest hash of their id, of texts of up to TRAIN_CHARS characters."""
     label = F.lower(F.split(F.trim("lang"), "[-_]")[0])
-    known = docs.where(label.isin(*LANGS, *THREE)).select("lang", "text", F.xxhash64("doc_id").alias("_h"))
+    known = docs.where(label.isin(*SEEDS, *THREE) & (F.length("text") <= TRAIN_CHARS)).select("lang", "text", F.xxhash64("doc_id").alias("_h"))
     # Hashes first, so that no text is brought to the driver that isn't kept.
     last = known.select("_h").orderBy("_h").limit(limit).agg(F.max("_h")).first()[0]
     return [(r[0], r[1]) for r in known.where(F.col("_h") <= last).limit(limit).collect()] if last is not None else []
@@ -367,14 +435,27 @@ def label_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     para_no 0 is the document: its main language, that of most of its full prose sentences (then of most words), with the
     share of those sentences in its confidence. Other rows hold, for each paragraph and language, the number of its full prose
-    sentences; main tells whether the language is the document's. Documents without prose, null and empty texts give no
-    rows. Whole texts are read. Extra columns are ignored; rows with equal doc_id are labelled each by itself.
+    sentences; main tells whether the language is the document's. Where no sentence is full, broken ones decide, and sentences
+    is 0. What no language in use explains is `und`; a document without prose, an empty and a null text have that one row,
+    with confidence 0. Whole texts are read. Extra columns are ignored; rows with equal or null doc_id are labelled each by
+    itself.
     """
     model = model or train(training_rows(docs))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return d.mapInArrow(labeller(model), _SCHEMA)
 
 
+def label_segments(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """Every stretch of prose in one language: doc_id, segment_no, para_no, first_line, last_line, lang, words, confidence.
+
+    A stretch is a longest run of words that the best path gives one language, in full sentences or not; it may begin and end inside
+    a line. para_no is the paragraph it begins in; lines and paragraphs are numbered from 1. Documents without prose have no rows.
+    """
+    model = model or train(training_rows(docs))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return d.mapInArrow(segmenter(model), _SEGMENTS)
+
+
 def _wrong(lang: Column, found: Column) -> Column:
     x = F.lower(F.split(F.regexp_replace(F.coalesce(lang, F.lit("")), r"(?U)^\s+|\s+$", ""), "[-_]")[0])
     codes = F.create_map(*[F.lit(y) for pair in THREE.items() for y in pair])
@@ -388,12 +469,13 @@ def languages_found(docs: DataFrame) -> DataFrame:
     run = labeller(model)
 
     def keep_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Documents go by their place in the batch, as ids may repeat.
         for b in batches:
-            label = dict(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))
-            for out in run(iter([b.select(["doc_id", "text"])])):
-                yield out.append_column("label", pa.array([label[i] for i in out.column(0).to_pylist()], pa.string()))
+            place = pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), b.column(1)], names=["doc_id", "text"])
+            for out in run(iter([place])):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(out.column(0)), *out.columns[1:], b.column(2).take(out.column(0))], names=[*out.schema.names, "label"])
 
     spans = d.mapInArrow(keep_label, _SCHEMA + ", label string")
     case = F.when(F.col("para_no") == 0, _wrong(F.col("label"), F.col("lang"))).otherwise(~F.col("main"))
-    return spans.where(case).select("doc_id", "para_no", F.col("lang").alias("found_lang")).distinct()
+    return spans.where(case & (F.col("sentences") > 0) & (F.col("lang") != NONE)).select("doc_id", "para_no", F.col("lang").alias("found_lang")).distinct()
 

@@ -24,9 +24,16 @@ RUN = 10
 SHARE = (2, 3)
 #: What stands for a run of signs only until it is left out.
 NO_WORD = -1
-_SCHEMA = "doc_id bigint, item_id bigint, longest int, matched int, words int"
+#: Characters of test items that are searched at a time; more are taken in blocks, each with a pass over the corpus.
+ITEM_CHARS = 16_000_000
+_SCHEMA = "doc_id bigint, item_id bigint, longest int, matched int, words int, doc_word int, item_word int"
 _WORD = re.compile(r"[^\W_]+")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
+#: Scripts written without spaces: each ideograph and each sign of the scripts of Southeast Asia is a word, and each run of kana.
+_SIGN = "\u3005\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+_HIRAGANA, _KATAKANA = "\u3041-\u309f", "\u30a1-\u30ff\u31f0-\u31ff"
+_UNSPACED = re.compile(f"[{_SIGN}{_HIRAGANA}{_KATAKANA}]")
+_PART = re.compile(f"[{_SIGN}]|[{_HIRAGANA}]+|[{_KATAKANA}]+|(?:(?![{_SIGN}{_HIRAGANA}{_KATAKANA}])[^\\W_])+")
 #: Format characters: zero-width spaces and joiners, soft hyphens, direction marks.
 _APOSTROPHES = dict.fromkeys(map(ord, "'\u2018\u2019\u02bc\u0060\u00b4"))
 _INVISIBLE = {c: None for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf"}
@@ -35,7 +42,8 @@ _INVISIBLE = {c: None for c in range(0x110000) if unicodedata.category(chr(c)) =
 def words(text: str) -> list[str]:
     """The words of a text: runs of letters and digits, compatibility-composed, in lower case.
 
-    Invisible format characters and apostrophes vanish inside words; markup tags and all other signs part words.
+    Invisible format characters and apostrophes vanish inside words; markup tags and all other signs part words. Scripts without
+    spaces are parted by sign or by run of kana.
     """
     if "<" in text:
         text = _TAG.sub(" ", text)
@@ -46,6 +54,8 @@ def token_words(token: str) -> list[str]:
     """The words of a run without white space."""
     if not token.isascii():
         token = unicodedata.normalize("NFKC", token.translate(_INVISIBLE))
+        if _UNSPACED.search(token):
+            return _PART.findall(token.translate(_APOSTROPHES).lower())
     return _WORD.findall(token.translate(_APOSTROPHES).lower())
 
 
@@ -230,25 +240,25 @@ def finder(tests: Tests):
         begins = np.cumsum(lengths) - lengths
         for s, o in zip(seqs, begins, strict=True):
             seq[o : o + len(s)] = s
-        runs = dict.fromkeys(likely(tests, need, seqs), 0)
-        for pair, longest in verbatim(seq, begins, list(runs)):
-            runs[pair] = longest
-        result: dict[tuple[int, int], list[int]] = {}
-        for (d, item), longest in runs.items():
+        runs: dict[tuple[int, int], tuple] = dict.fromkeys(likely(tests, need, seqs), (0, None, None))
+        for pair, *run in verbatim(seq, begins, list(runs)):
+            runs[pair] = tuple(run)
+        result: dict[tuple[int, int], list] = {}
+        for (d, item), (longest, doc_word, item_word) in runs.items():
             size, matched = int(tests.sizes[item]), 0
             text = tests.seq[tests.starts[item] : tests.starts[item] + size]
             sure = longest >= min(RUN, size)
             if not sure and min(most_aligned(text, seqs[d]), most_chained(text, seqs[d])) >= need[item]:
                 matched = aligned(text, seqs[d])
             if sure or matched >= need[item]:
-                result[d, item] = [max(longest, 1), max(matched, longest), size]
+                result[d, item] = [max(longest, 1), max(matched, longest), size, doc_word, item_word]
         rows = [(ids[d], int(tests.item_ids[i]), *v) for (d, i), v in result.items() if ids[d] is not None]
         if rows:
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[2:]]], names=["doc_id", "item_id", "longest", "matched", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[2:]]], names=["doc_id", "item_id", "longest", "matched", "words", "doc_word", "item_word"])
 
-    def verbatim(seq, begins, wanted) -> Iterator[tuple[tuple[int, int], int]]:
-        # Longest runs of two words or more: of the wanted pairs, and of all that are a leak by them.
+    def verbatim(seq, begins, wanted) -> Iterator[tuple]:
+        # Longest runs of two words or more, with their first words: of the wanted pairs, and of all that are a leak by them.
         docs_of: dict[int, list[int]] = {}
         for d, item in wanted:
             docs_of.setdefault(item, []).append(d)
@@ -274,34 +284,42 @@ def finder(tests: Tests):
             starts = np.flatnonzero(np.concatenate([[True], ~((p[1:] - p[:-1] == 1) & (t[1:] - t[:-1] == 1) & (doc[1:] == doc[:-1]))]))
             run = np.diff(np.concatenate([starts, [len(p)]])) + 1
             run_doc = doc[starts]
-            docs = np.unique(doc)
-            top = np.zeros(len(docs), np.int64)
-            np.maximum.at(top, np.searchsorted(docs, run_doc), run)
-            for k in np.flatnonzero((top >= min(RUN, int(tests.sizes[item]))) | np.isin(docs, docs_of.get(item, []))):
-                yield (int(docs[k]), item), int(top[k])
+            best = np.lexsort((p[starts], -run, run_doc))  # the first of the longest runs of each document
+            best = best[np.concatenate([[True], run_doc[best][1:] != run_doc[best][:-1]])]
+            for k in best[(run[best] >= min(RUN, int(tests.sizes[item]))) | np.isin(run_doc[best], docs_of.get(item, []))].tolist():
+                at = starts[k]
+                yield (int(run_doc[k]), item), int(run[k]), int(p[at] - begins[run_doc[k]]) + 1, int(t[at] - tests.starts[item]) + 1
 
     return run
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, longest, matched, words): which documents leak which test items, one row each.
+    """(doc_id, item_id, longest, matched, words, doc_word, item_word): which documents leak which test items, one row each.
 
     A document leaks an item that it contains RUN consecutive words of, or SHARE of the words of in their order with only
     single words changed, dropped or inserted; an item of fewer than RUN words must be there whole or by SHARE. Case, signs,
-    quote marks, invisible characters and line breaks don't count. longest is the longest verbatim run found, matched the
-    words in order. Null and empty texts on either side match nothing; several rows of one doc_id count as one document;
-    null ids are left out. The held-out items are a fixed set that the driver reads to build the search (its size is that
-    of the test suites, not of the corpus); the corpus is read once and never shuffled.
+    quote marks, invisible characters and line breaks don't count. longest is the longest verbatim run found, doc_word and
+    item_word are the numbers (from 1) of its first word there and here, null for runs of one word; matched is the number of
+    words in order. Null and empty texts on either side match nothing; several rows of one doc_id count as one document; null
+    ids are left out. The held-out items are read on the driver in blocks of about ITEM_CHARS characters, so that what is sent
+    to the tasks stays bounded; for each block the corpus is read once, and it is never shuffled.
     """
-    rows = [(r[0], r[1]) for r in items.select(F.col("item_id").cast("long"), "item_text").where("item_id is not null").orderBy("item_id").collect()]
-    tests = Tests.of(rows)
+    held = items.select(F.col("item_id").cast("long").alias("item_id"), "item_text").where("item_id is not null")
+    chars = held.agg(F.sum(F.length("item_text"))).first()[0] or 0
+    blocks = max(1, -(-chars // ITEM_CHARS))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = d.mapInArrow(finder(tests), _SCHEMA)
-    return found.groupBy("doc_id", "item_id").agg(F.max("longest").alias("longest"), F.max("matched").alias("matched"), F.first("words").alias("words"))
+    found = None
+    for k in range(blocks):
+        rows = held.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()
+        part = d.mapInArrow(finder(Tests.of([tuple(r) for r in rows])), _SCHEMA)
+        found = part if found is None else found.unionByName(part)
+    best = F.max(F.struct("longest", "words", "doc_word", "item_word"))
+    found = found.groupBy("doc_id", "item_id").agg(best.alias("r"), F.max("matched").alias("matched"))
+    return found.select("doc_id", "item_id", "r.longest", "matched", "r.words", "r.doc_word", "r.item_word")
 
 
 def without_leaks(docs: DataFrame, leaks: DataFrame) -> DataFrame:
-    """The documents that leak no item."""
+    """The documents that leak no item; those without an id are kept, as no leak can name them."""
     return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti")
 
 

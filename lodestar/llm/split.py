@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterator
@@ -23,6 +24,8 @@ _BREAKS = (
     re.compile(r"[,;:、，](?=\s)\s*|[、，]"),
     re.compile(r"\s+"),
 )
+#: The beginning of an escape that a place lies in; an even number of backslashes before it are escapes of their own.
+_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*(?P<body>\\(?:u[0-9a-fA-F]{0,3})?)\Z")
 #: Rank of the cut between two rows; breaks inside a text rank below it.
 _ROW_CUT, _PART_CUT = 2, 1
 
@@ -32,11 +35,24 @@ def tokens(text: str | None) -> int:
     return 0 if text is None else -(-len(text) // 4)
 
 
+def _whole(text: str, least: int, at: int) -> int:
+    """The last place from least + 1 to `at` that parts neither an escape of JSON text nor a letter from its marks, else `at`."""
+    b = at
+    while b > least + 1 and b < len(text) and unicodedata.combining(text[b]):
+        b -= 1
+    tail = _ESCAPE.search(text, max(least, b - 12), b)
+    if tail and (tail.end() - tail.start("body")) and tail.start("body") > least:
+        b = tail.start("body")
+    return b if b > least else at
+
+
 def cut_text(text: str, limit: int) -> list[str]:
     """Balanced parts of text, each of at most `limit` tokens, that joined give the text again.
 
     The least number of parts gives equal-length targets; each moves to the strongest break within a quarter of a part,
-    to the nearest of equals; where the parts then break the limit, one more is tried, and at last cuts fall by length.
+    to the nearest of equals; where the parts then break the limit, one more is tried. Where that doesn't end soon, each part
+    goes to the strongest break in the last half of what it may hold, else to the last one, and to the limit only where
+    there is none.
     """
     limit = max(1, limit)
     if tokens(text) <= limit:
@@ -45,8 +61,8 @@ def cut_text(text: str, limit: int) -> list[str]:
     for rank, pattern in enumerate(_BREAKS):
         for m in pattern.finditer(text):
             breaks.setdefault(m.end(), rank)
-    at = sorted(breaks)
-    least = -(-len(text) // (4 * limit))
+    at, size = sorted(breaks), 4 * limit
+    least = -(-len(text) // size)
     for n in range(least, 2 * least + 3):
         step = len(text) / n
         cuts = [0]
@@ -54,14 +70,24 @@ def cut_text(text: str, limit: int) -> list[str]:
             target = round(k * step)
             lo, hi = bisect_left(at, target - step / 4), bisect_left(at, target + step / 4)
             near = [p for p in at[lo:hi] if p > cuts[-1]]
-            cuts.append(min(near, key=lambda p: (breaks[p], abs(p - target))) if near else max(target, cuts[-1] + 1))
-            if cuts[-1] - cuts[-2] > 4 * limit:
+            cuts.append(min(near, key=lambda p: (breaks[p], abs(p - target))) if near else _whole(text, cuts[-1], max(target, cuts[-1] + 1)))
+            if cuts[-1] - cuts[-2] > size:
                 break
         cuts.append(len(text))
         parts = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
         if all(tokens(p) <= limit for p in parts):
             return parts
-    return [text[i : i + 4 * limit] for i in range(0, len(text), 4 * limit)]
+    parts, a = [], 0
+    while len(text) - a > size:
+        lo, hi = bisect_left(at, a + size // 2), bisect_right(at, a + size)
+        near = at[lo:hi]
+        if near:
+            b = min(near, key=lambda p: (breaks[p], -p))
+        else:
+            b = at[hi - 1] if hi and at[hi - 1] > a else _whole(text, a, a + size)
+        parts.append(text[a:b])
+        a = b
+    return [*parts, text[a:]]
 
 
 def plan(sizes: list[int], ranks: list[int], max_tokens: int, max_rows: int, overlap: int) -> list[tuple[int, int, int]]:
@@ -112,7 +138,7 @@ def plan(sizes: list[int], ranks: list[int], max_tokens: int, max_rows: int, ove
 
 
 def split_rows(rows: list[str | None], max_tokens: int | None, max_rows: int | None, overlap: int) -> tuple[bool, list[dict]]:
-    """(whether the batch exceeds a limit, its pieces). A null limit doesn't bind; a batch without rows has no pieces.
+    """(whether the batch came out in several pieces, these). A null limit doesn't bind; a batch without rows has no pieces.
 
     A row too large is cut into parts so small that a piece holds the repeated parts and as many new ones, if the row limit lets it.
     """
@@ -122,16 +148,16 @@ def split_rows(rows: list[str | None], max_tokens: int | None, max_rows: int | N
     over = sum(sizes) > max_tokens or len(rows) > max_rows
     ahead = max(0, min(overlap, max_rows - 1))
     most = max(1, max_tokens // max(1, min(2 * ahead, max_rows)))
-    units: list[tuple[int, str | None, int, bool]] = []  # row, text, rank of the cut before it, first part of a row too large
+    units: list[tuple[int, str | None, int, bool]] = []  # row, text, rank of the cut before it, second part of a row too large
     for i, (r, s) in enumerate(zip(rows, sizes, strict=True)):
         if s > max_tokens:
             for j, part in enumerate(cut_text(r, most)):
-                units.append((i + 1, part, _PART_CUT if j else _ROW_CUT, j == 0))
+                units.append((i + 1, part, _PART_CUT if j else _ROW_CUT, j == 1))
         else:
             units.append((i + 1, r, _ROW_CUT, False))
     unit_sizes = [tokens(u[1]) for u in units]
     pieces = plan(unit_sizes, [u[2] for u in units], max_tokens, max_rows, max(0, overlap)) if over else [(0, len(units), 0)] * bool(units)
-    return over, [
+    return len(pieces) > 1, [
         {
             "piece_no": k + 1,
             "pieces": len(pieces),
@@ -160,8 +186,8 @@ def split_batches(batches: DataFrame, limits: DataFrame) -> DataFrame:
     """The pieces of every batch, each within both limits of the batch's limits_id.
 
     One row per piece: batch_id, piece_no of pieces, first_row and last_row (from 1, with the repeated ones), tokens,
-    overlap (how many of its first rows repeat the piece before), batch_over (the batch exceeds a limit), over_rows (rows too
-    large alone whose first part is new here), piece_rows. A batch within its limits, or with unknown or null limits_id, is
+    overlap (how many of its first rows repeat the piece before), batch_over (the batch had to be cut), over_rows (rows that
+    had to be cut, whose second part is new here), piece_rows. A batch within its limits, or with unknown or null limits_id, is
     one piece; one without rows has none. A null row has size 0 and counts as a row. Rows keep their order and text; the
     parts of a row too large by itself joined give the row. limits is a fixed table of few rows and is broadcast.
     """
@@ -176,7 +202,7 @@ def split_batches(batches: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def oversized_found(batches: DataFrame, limits: DataFrame) -> DataFrame:
-    """p1_found: (batch_id, row_no); 0 for a batch beyond a limit, k for a row beyond the token limit alone."""
+    """p1_found: (batch_id, row_no); 0 for a batch that its limits cut into pieces, k for a row that was cut itself."""
     p = split_batches(batches, limits)
     whole = F.when(F.col("batch_over") & (F.col("piece_no") == 1), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>"))
     return p.select("batch_id", F.explode(F.concat(whole, "over_rows")).alias("row_no"))

@@ -1,8 +1,8 @@
 """Frequency of every distinct term: a global integer dictionary with count arrays summed by identifier range.
 
-Each task encodes its terms against a local dictionary and accumulates blocks of count arrays (occurrences and records).
-Blocks are hash-partitioned by term, so every partition owns one range of identifiers; sorting it makes equal terms
-adjacent, and one pass numbers them and sums their counts. A term, however hot, crosses the shuffle once per block.
+Each task encodes its terms against a local dictionary and accumulates blocks of count arrays (occurrences and records). The
+distinct terms of all blocks, sorted and numbered, are the global dictionary; blocks are encoded with it, and their counts are
+summed in arrays, one for each range of identifiers. A term, however hot, crosses a shuffle once per block.
 """
 
 from __future__ import annotations
@@ -12,17 +12,19 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.session import cut, shuffle_partitions
+from lodestar.operators.numbering import numbered
+from lodestar.session import shuffle_partitions, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A block is handed on when its local dictionary holds so many terms; it bounds memory and drops nothing.
 BLOCK_TERMS = 200_000
 _PARTIAL = "field tinyint, term string, occurrences bigint, records bigint"
-_NUMBERED = "part int, local_id bigint, field tinyint, term string, occurrences bigint, records bigint"
+_SUMS = "term_id bigint, occurrences bigint, records bigint"
+#: Identifiers of a range, whose counts one task holds as arrays.
+RANGE_IDS = 65_536
 
 
 def fold_ascii(c: Column) -> Column:
@@ -85,34 +87,26 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted partial counts to one row per term with its number in the partition; sums by ranges of equal terms."""
-    pid, base, held = TaskContext.get().partitionId(), 0, None
+def _sum_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(range, term_id, occurrences, records), sorted by range, to one row per identifier; one range's arrays are held at a time."""
+    now, sums = -1, np.zeros((2, RANGE_IDS), np.int64)
 
-    def out(field, term, occ, rec, at: int) -> pa.RecordBatch:
-        m = len(term)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(m, pid, np.int32)), pa.array(np.arange(at, at + m)), field, term, pa.array(occ), pa.array(rec)], names=["part", "local_id", "field", "term", "occurrences", "records"])
+    def out() -> pa.RecordBatch:
+        at = np.flatnonzero(sums[0])
+        return pa.RecordBatch.from_arrays([pa.array(at + now * RANGE_IDS), pa.array(sums[0, at]), pa.array(sums[1, at])], names=["term_id", "occurrences", "records"])
 
     for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-        field, term = t.column(0).combine_chunks(), t.column(1).combine_chunks()
-        m = t.num_rows
-        new = np.ones(m, bool)
-        if m > 1:
-            new[1:] = pc.or_(pc.not_equal(term.slice(1), term.slice(0, m - 1)), pc.not_equal(field.slice(1), field.slice(0, m - 1))).to_numpy(zero_copy_only=False)
-        at = np.flatnonzero(new)
-        occ, rec = np.add.reduceat(t.column(2).to_numpy(), at), np.add.reduceat(t.column(3).to_numpy(), at)
-        idx = pa.array(at)
-        f, s = field.take(idx), term.take(idx)
-        if len(at) > 1:
-            yield out(f.slice(0, len(at) - 1), s.slice(0, len(at) - 1), occ[:-1], rec[:-1], base)
-            base += len(at) - 1
-        z = len(at) - 1  # the last term may go on in the next batch
-        held = pa.table({"field": f.slice(z), "term": s.slice(z), "occurrences": pa.array(occ[z:]), "records": pa.array(rec[z:])}, schema=pa.schema([("field", pa.int8()), ("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())]))
-    if held is not None:
-        yield out(held.column(0).combine_chunks(), held.column(1).combine_chunks(), held.column(2).to_numpy(), held.column(3).to_numpy(), base)
+        which, ids, *counts = [b.column(i).to_numpy() for i in range(4)]
+        for r in np.unique(which).tolist():
+            if r != now:
+                if now >= 0:
+                    yield out()
+                now, sums[:] = r, 0
+            mine = which == r
+            for total, c in zip(sums, counts, strict=True):
+                np.add.at(total, ids[mine] - r * RANGE_IDS, c[mine])
+    if now >= 0:
+        yield out()
 
 
 def term_counts(fields: Sequence[tuple[str, DataFrame, str, str, str]], rare_records: int = 1, common_share: float = 0.05) -> DataFrame:
@@ -130,36 +124,16 @@ def term_counts(fields: Sequence[tuple[str, DataFrame, str, str, str]], rare_rec
         v = df.select(F.col(id_col).alias("id"), F.col(value_col).alias("v")).where(has_value(F.col("v"))).distinct()
         part = v.select(F.lit(i).cast("tinyint").alias("field"), (word_terms if kind == "word" else value_terms)(F.col("v")).alias("terms"))
         rows = part if rows is None else rows.unionByName(part)
-    partial = rows.mapInArrow(_blocks, _PARTIAL)
-    owned = partial.repartition(shuffle_partitions(spark), "field", "term").sortWithinPartitions("field", "term")
-    counts = cut(owned.mapInArrow(_number, _NUMBERED))
-    # One row per partition and one per field: both bounded by the plan, not by the data.
-    sizes = sorted((r["part"], r["n"]) for r in counts.where("term != ''").groupBy("part").agg(F.count("*").alias("n")).collect())
-    bases, at = [], 0
-    for part, n in sizes:
-        bases.append((part, at))
-        at += n
-    totals = {r["field"]: r["records"] for r in counts.where("term = ''").groupBy("field").agg(F.sum("records").alias("records")).collect()}
-    by_field = spark.createDataFrame([(i, f[0], totals.get(i, 0)) for i, f in enumerate(fields)], "field tinyint, field_name string, total bigint")
-    base = spark.createDataFrame(bases, "part int, base bigint")
-    # The empty term sorts first within its field: numbers after it are less by the empty terms before them.
-    empties = counts.where("term = ''").select("part", F.col("field").alias("f"), F.col("local_id").alias("e"))
-    before = empties.groupBy("part").agg(F.collect_list("e").alias("gone"))
+    partial = written(rows.mapInArrow(_blocks, _PARTIAL))
+    terms = partial.where("term != ''")
+    dictionary = numbered(terms.select("field", "term").distinct(), ["field", "term"]).select((F.col("n") - 1).alias("term_id"), "field", "term")
+    coded = terms.join(dictionary, ["field", "term"]).select(F.floor(F.col("term_id") / RANGE_IDS).cast("long").alias("range"), "term_id", "occurrences", "records")
+    sums = coded.repartition(shuffle_partitions(spark), "range").sortWithinPartitions("range").mapInArrow(_sum_ranges, _SUMS)
+    # The empty term holds the number of records with a value: one row per field.
+    total = partial.where("term = ''").groupBy("field").agg(F.sum("records").alias("total"))
+    name = F.array(*[F.lit(f[0]) for f in fields])[F.col("field")]
     mark = F.when(F.col("records") <= rare_records, "rare").when(F.col("records") > common_share * F.col("total"), "common")
-    return (
-        counts.where("term != ''")
-        .join(F.broadcast(base), "part")
-        .join(F.broadcast(before), "part", "left")
-        .join(F.broadcast(by_field), "field")
-        .select(
-            (F.col("base") + F.col("local_id") - F.coalesce(F.size(F.filter("gone", lambda g: g < F.col("local_id"))), F.lit(0))).alias("term_id"),
-            "field_name",
-            "term",
-            "occurrences",
-            "records",
-            mark.alias("mark"),
-        )
-    )
+    return sums.join(dictionary, "term_id").join(F.broadcast(total), "field").select("term_id", name.alias("field_name"), "term", "occurrences", "records", mark.alias("mark"))
 
 
 def collection_terms(rules: DataFrame, known: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def model():
 
 def spans(spark, model, docs):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
-    return {(r.doc_id, r.para_no): (r.lang, r.sentences) for r in G.label_spans(df, model).where("para_no = 0 or not main").collect()}
+    return {(r.doc_id, r.para_no): (r.lang, r.sentences) for r in G.label_spans(df, model).where("sentences > 0 and (para_no = 0 or not main)").collect()}
 
 
 def test_documents_and_stretches(spark, model):
@@ -83,3 +83,24 @@ def test_held_out_accuracy(spark, small):
     got = {r.doc_id: r.lang for r in G.label_spans(test, m).where("para_no = 0").collect()}
     told = [(got[r.doc_id], G.label_code(r.lang)) for r in test.collect() if r.doc_id in got and G.label_code(r.lang)]
     assert sum(a == b for a, b in told) > 0.8 * len(told)
+
+
+def test_undetermined_and_broken_sentences(spark):
+    model = G.train([])
+    docs = [(1, "Η ομάδα βρήκε το αρχείο στον διακομιστή σήμερα."), (2, "Користувач відкрив файл і їхній запит був виконаний."), (3, "管理员发现服务器上存在可疑文件并立即采取了措施。"), (4, "Qwrt zxcv bnmp lkjh."), (5, "the file of the host"), (6, None), (7, ""), (8, "攻撃者は端末にログインした。")]
+    got = {r.doc_id: r for r in G.label_spans(spark.createDataFrame(docs, "doc_id long, text string"), model).where("para_no = 0").collect()}
+    assert {i: r.lang for i, r in got.items()} == {1: "und", 2: "und", 3: "und", 4: "und", 5: "en", 6: "und", 7: "und", 8: "ja"}
+    assert got[5].sentences == 0 and got[6].confidence == 0 and got[8].sentences == 1
+
+
+def test_segments_have_places(spark):
+    model = G.train([])
+    text = "The user was in the file and it is not on the list of the host.\nIt is that.\n\nDer Angreifer ist auf dem Rechner und die Datei ist nicht mit der Liste\nvon dem Host."
+    got = G.label_segments(spark.createDataFrame([(5, text), (6, None)], "doc_id long, text string"), model).orderBy("segment_no").collect()
+    assert [(r.doc_id, r.segment_no, r.para_no, r.first_line, r.last_line, r.lang) for r in got] == [(5, 1, 1, 1, 2, "en"), (5, 2, 2, 4, 5, "de")]
+
+
+def test_repeated_ids_keep_their_labels(spark):
+    text = "The user was in the file and it is not on the list of the host."
+    docs = spark.createDataFrame([(1, text, "en"), (1, text, "de"), (None, text, "fr")], "doc_id long, text string, lang string").coalesce(1)
+    assert {tuple(r) for r in G.languages_found(docs).collect()} == {(1, 0, "en"), (None, 0, "en")}

@@ -143,3 +143,26 @@ def test_bound_is_never_less():
         item, doc = r.integers(1, 9, r.integers(1, 20)), r.integers(0, 9, r.integers(0, 40))
         assert L.aligned(item, doc) <= L.most_aligned(item, doc)
         assert L.aligned(item, doc) <= L.most_chained(item, doc)
+
+
+def test_words_without_spaces():
+    assert L.words("攻撃者はpowershell.exeを実行した") == ["攻", "撃", "者", "は", "powershell", "exe", "を", "実", "行", "した"]
+    assert L.words("<a href='" + "x" * 500 + "'>one</a> two") == ["one", "two"]
+
+
+def test_unspaced_single_and_stretched_items_are_found(spark):
+    items = [(1, "攻撃者は端末にログインしてファイルを削除した"), (2, "Zanzibar"), (3, " ".join(f"w{i}" for i in range(30)))]
+    docs = [(1, "報告によれば、攻撃者は端末にログインしてファイルを削除したと思われる。"), (2, "I went to Zanzibar today"), (3, " ".join(f"w{i} x{i}" for i in range(30))), (4, "別の文章です")]
+    got = L.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_places_and_blocks_of_items(spark, monkeypatch):
+    item = " ".join(f"v{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, "so it says: " + " ".join(f"v{i}" for i in range(5, 25)) + " and more"), (2, "v1 v2"), (None, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (8, "of no other use " * 5), (9, None)], "item_id long, item_text string")
+    want = [(1, 7, 20, 20, 40, 4, 6)]
+    assert [tuple(r) for r in L.find_leaks(docs, items).collect()] == want
+    monkeypatch.setattr(L, "ITEM_CHARS", 60)
+    assert [tuple(r) for r in L.find_leaks(docs, items).collect()] == want
+    assert sorted(str(r.doc_id) for r in L.without_leaks(docs, L.find_leaks(docs, items)).collect()) == ["2", "None"]

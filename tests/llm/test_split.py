@@ -99,3 +99,36 @@ def test_every_batch_comes_out(tables):
 def test_empty(spark, tables):
     assert S.oversized_found(tables[0].where("false"), tables[1]).count() == 0
     assert {r.pieces for r in S.split_batches(tables[0], tables[1].where("false")).collect()} == {1}
+
+
+def test_parts_without_near_breaks_keep_escapes_and_marks_whole():
+    for text in ("\\u00e4" * 300, "\\\\n" * 400, "é" * 500, "x" * 999, "ab cd, " + "y" * 50 + " ef" * 90):
+        for limit in (3, 5, 16):
+            parts = S.cut_text(text, limit)
+            assert "".join(parts) == text and all(S.tokens(p) <= limit for p in parts)
+            if text.startswith("\\u"):
+                assert all(len(p) % 6 == 0 for p in parts)
+            if text.startswith("e"):
+                assert not any(p.startswith("́") for p in parts)
+
+
+def test_pieces_of_all_batches(spark, small):
+    batches, limits = spark.read.parquet(f"{small}/query_batches.parquet"), spark.read.parquet(f"{small}/analysis_limits.parquet")
+    bound = {r.limits_id: r for r in limits.collect()}
+    rows = {r.batch_id: (list(r.batch_rows or []), bound[r.limits_id]) for r in batches.collect()}
+    got = {}
+    for p in S.split_batches(batches, limits).orderBy("batch_id", "piece_no").collect():
+        got.setdefault(p.batch_id, []).append(p)
+    assert set(got) == {b for b, (r, _) in rows.items() if r}
+    for b, pieces in got.items():
+        want, lim = rows[b]
+        text = []
+        for p in pieces:
+            assert sum(map(S.tokens, p.piece_rows)) == p.tokens <= lim.maximum_evidence_tokens_per_item
+            assert len(p.piece_rows) <= lim.maximum_analysis_item_rows
+            assert p.overlap <= lim.overlap_rows and p.piece_rows[: p.overlap] == (text[-p.overlap :] if p.overlap else [])
+            text += p.piece_rows[p.overlap :]
+        # Joined without what is repeated, the pieces give the batch again.
+        assert "".join(x or "" for x in text) == "".join(x or "" for x in want)
+        if len(pieces) == 1:
+            assert text == want
