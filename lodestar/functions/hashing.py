@@ -16,13 +16,15 @@ _HTML = "&<>\u2028\u2029"
 
 def json_string(c: Column) -> Column:
     """c as a JSON string; &, <, > and the line separators are escaped too."""
-    out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    plain = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    out = plain
     for ch, letter in _SHORT.items():
         out = F.replace(out, F.lit(ch), F.lit("\\" + letter))
     for code in [*range(32), *map(ord, _HTML)]:
         if chr(code) not in _SHORT:
             out = F.replace(out, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    # Few texts hold any of these signs; only they are taken through all replacements.
+    return F.concat(F.lit('"'), F.when(c.rlike(r"[\x00-\x1f&<>\u2028\u2029]"), out).otherwise(plain), F.lit('"'))
 
 
 def identity_key(image_path: Column, launch_string: Column, signer: Column) -> Column:

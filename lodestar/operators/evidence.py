@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar.operators.numbering import numbered, numbered_within
+
 
 def dedup_evidence(df: DataFrame, content: Sequence[str], time: str) -> DataFrame:
     """evidence_id, occurrences, first_seen, last_seen per distinct content; the id is `ev-` and 24 digits of its SHA-256.
@@ -43,8 +45,8 @@ def numbered_then_filtered(df: DataFrame, source: Sequence[str], order: Sequence
 
 
 def segments(df: DataFrame, source: Sequence[str], order: Sequence[str], size: int) -> DataFrame:
-    """source, segment (from 0), row_start, row_end, n: bounded row ranges of every source."""
-    r = df.withColumn("_n", F.row_number().over(Window.partitionBy(*source).orderBy(*order)))
+    """source, segment (from 0), row_start, row_end, n: bounded row ranges of every source, however large."""
+    r = numbered_within(df.select(*source, *order), source, order, "_n")
     return r.groupBy(*source, F.floor((F.col("_n") - 1) / size).alias("segment")).agg(F.min("_n").alias("row_start"), F.max("_n").alias("row_end"), F.count("*").alias("n"))
 
 
@@ -110,19 +112,27 @@ def select_in_budget(df: DataFrame, source: str, order: Sequence[Column], weight
 
 
 def diverse(df: DataFrame, keys: Sequence[str], host: str, order: Sequence[str], most: int) -> DataFrame:
-    """Up to `most` rows per key: the first of every host in order, then the key's first, middle and last rows."""
-    w, per_host = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys, host).orderBy(*order)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    r = df.withColumns({"_r": F.row_number().over(w), "_h": F.row_number().over(per_host), "_n": n})
-    pick = r.where((F.col("_h") == 1) | F.col("_r").isin(1) | (F.col("_r") == F.floor(F.col("_n") / 2) + 1) | (F.col("_r") == F.col("_n")))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.when(F.col("_h") == 1, 0).otherwise(1), "_r"))
-    return pick.withColumn("_k", rank).where(F.col("_k") <= most).drop("_r", "_h", "_n", "_k")
+    """Up to `most` rows per key: the first of every host in order, then the key's first, middle and last rows.
+
+    Places are numbered across partitions; what competes for a key's places is one row per host, of which the planner keeps
+    `most` before it brings them together.
+    """
+    r = numbered_within(df, keys, order, "_r")
+    first = r.groupBy(*keys, host).agg(F.min("_r").alias("_r")).select(*keys, "_r", F.lit(0).alias("_h"))
+    n = r.groupBy(*keys).agg(F.count("*").alias("_n"))
+    ends = n.select(*keys, F.explode(F.array(F.lit(1).cast("long"), F.floor(F.col("_n") / 2) + 1, F.col("_n"))).alias("_r"), F.lit(1).alias("_h"))
+    pick = first.unionByName(ends).groupBy(*keys, "_r").agg(F.min("_h").alias("_h"))
+    w = Window.partitionBy(*keys).orderBy("_h", "_r")
+    pick = pick.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most)
+    pick = pick.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_r").alias("_at"))
+    on = F.col("_r") == F.col("_at")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return r.join(pick, on, "left_semi").select(*df.columns)
 
 
 def alias_new(ids: DataFrame, existing: DataFrame, id_col: str) -> DataFrame:
     """(id, alias): ids keep their alias; new ones get the next numbers in order of id."""
-    from lodestar.operators.numbering import numbered
-
-    top = existing.agg(F.coalesce(F.max("alias"), F.lit(0)).cast("long")).first()[0]
+    top = existing.agg(F.coalesce(F.max("alias"), F.lit(0)).cast("long")).scalar()
     fresh = numbered(ids.select(id_col).distinct().join(existing, id_col, "left_anti"), [id_col])
-    return existing.select(id_col, F.col("alias").cast("long").alias("alias")).unionByName(fresh.select(id_col, (F.col("n") + F.lit(top)).cast("long").alias("alias")))
+    return existing.select(id_col, F.col("alias").cast("long").alias("alias")).unionByName(fresh.select(id_col, (F.col("n") + top).cast("long").alias("alias")))

@@ -15,9 +15,14 @@ def rank_of(c: Column, order: Sequence[str]) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Text that sorts by its numbers as numbers: every run of digits is padded, the rest is in lower case."""
+    """Text that sorts by its numbers as numbers: each has its length before it, the rest is in lower case."""
     parts = F.regexp_extract_all(F.lower(c.cast("string")), F.lit(r"(\d+|\D+)"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 24, "0")).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), _sized(p)).otherwise(p)), "")
+
+
+def _sized(digits: Column) -> Column:
+    n = F.regexp_replace(digits, r"^0+(?=\d)", "")
+    return F.concat(F.lpad(F.length(n).cast("string"), 10, "0"), n)
 
 
 def consolidate(df: DataFrame, keys: Sequence[str], priority: str, order: Sequence[str], evidence: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.hashing import identity_key
+
 #: Constructs that the pattern dialects don't share.
 UNSHARED = r"\(\?(?:[=!]|<[=!])|\\[1-9]|\\C|[*+?}]\+"
 
@@ -28,14 +30,42 @@ def subtract_patterns(identities: DataFrame, rules: DataFrame, pairs: dict[str,
     return unmatched(identities, rules, pairs)
 
 
+def subtract_identities(rows: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose identity, the hash of their normalised image path, launch string and signer, no known row has.
+
+    User folders, system variables, letter case and missing values don't matter; only the hashes cross the shuffle of the known side.
+    """
+    have = known.select(identity_key(*[F.col(k) for k in keys]).alias("_identity")).distinct()
+    return rows.withColumn("_identity", identity_key(*[F.col(k) for k in keys])).join(have, "_identity", "left_anti").drop("_identity")
+
+
+def select_identities(rows: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose identity one of the chosen rows has."""
+    want = chosen.select(identity_key(*[F.col(k) for k in keys]).alias("_identity")).distinct()
+    return rows.withColumn("_identity", identity_key(*[F.col(k) for k in keys])).join(want, "_identity", "left_semi").drop("_identity")
+
+
+def delete_by_key(table: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The table without the rows whose keys are in `gone`; null keys match null keys."""
+    g = gone.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).distinct()
+    on = None
+    for i, k in enumerate(keys):
+        c = F.col(k).eqNullSafe(F.col(f"_g{i}"))
+        on = c if on is None else on & c
+    return table.join(g, on, "left_anti")
+
+
 def known_good_filter(rows: DataFrame, keys: Sequence[str], exact: DataFrame, rules: DataFrame, pairs: dict[str, str]) -> DataFrame:
-    """Rows left by both subtractions. Rows with all keys blank are left out; patterns are tested per distinct identity."""
+    """Rows left by both subtractions, by identity and by pattern. keys are image path, launch string and signer.
+
+    Rows with all keys blank are left out; patterns are tested per distinct combination of keys.
+    """
     from lodestar.functions.text import blank
 
     some = None
     for k in keys:
         some = ~blank(F.col(k)) if some is None else some | ~blank(F.col(k))
-    filled = subtract_exact(rows.where(some), exact, keys)
+    filled = subtract_identities(rows.where(some), exact, keys)
     left = subtract_patterns(filled.select(*keys).distinct(), rules, pairs)
     right = left.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
     on = None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -47,8 +48,20 @@ def under(c: Column, parent: str) -> Column:
 
 
 def anywhere(df: DataFrame, literal: str) -> Column:
-    """Whether the literal occurs in any value or name of a row, whatever the ASCII case."""
-    return F.lower(F.to_json(F.struct("*"))).contains(literal.lower())
+    """Whether the literal occurs in any value or name of a row, whatever the case; quotes and backslashes stand for themselves.
+
+    Lists, maps and structs are looked through as JSON, with the literal written as JSON does.
+    """
+    low = literal.lower()
+    if any(low in c.lower() for c in df.columns):
+        return F.lit(True)
+    quoted = json.dumps(low, ensure_ascii=False)[1:-1]
+    hits = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        nested = kind.startswith(("array", "map", "struct", "variant"))
+        hits.append(F.coalesce(F.lower(F.to_json(c) if nested else c.cast("string")).contains(quoted if nested else low), F.lit(False)))
+    return any_of(hits)
 
 
 def reasons(codes: Mapping[str, Column]) -> Column:

@@ -88,12 +88,19 @@ def accounted_stack(rows: DataFrame, dims: Sequence[str], host: str, rules: Data
     what no rule matches is the residual, with up to `samples` host names. The patterns come last and see each identity once.
     accounts has one row: eligible = excluded + matched + residual, in rows and in groups.
     """
-    groups = rows.groupBy(*dims).agg(F.count("*").alias("total_rows"))
-    open_ = groups.where(F.col("total_rows") <= cutoff) if cutoff > 0 else groups
-    left = unmatched(open_, rules, pairs)
-    names = bounded_sample(rows, dims, host, samples)
-    on = [left[d].eqNullSafe(names[d]) for d in dims]
-    stack = left.join(names, on, "left").select(*[left[d] for d in dims], "total_rows", F.coalesce("sample", F.array().cast("array<string>")).alias("example_hosts"))
+    by_host = rows.groupBy(*dims, host).agg(F.count("*").alias("_c"))
+    groups = by_host.groupBy(*dims).agg(F.sum("_c").alias("total_rows"))
+    if cutoff > 0:
+        # What is left has at most `cutoff` rows a group: the sample comes from the same pass.
+        total = F.sum("_c").over(Window.partitionBy(*dims))
+        open_ = by_host.withColumn("_t", total).where(F.col("_t") <= cutoff).groupBy(*dims).agg(F.max("_t").alias("total_rows"), F.slice(F.array_sort(F.collect_set(host)), 1, samples).alias("example_hosts"))
+        stack = unmatched(open_, rules, pairs)
+        left = unmatched(groups.where(F.col("total_rows") <= cutoff), rules, pairs)
+    else:
+        left = unmatched(groups, rules, pairs)
+        names = bounded_sample(rows, dims, host, samples)
+        on = [left[d].eqNullSafe(names[d]) for d in dims]
+        stack = left.join(names, on, "left").select(*[left[d] for d in dims], "total_rows", F.coalesce("sample", F.array().cast("array<string>")).alias("example_hosts"))
     all_ = groups.agg(F.sum("total_rows").alias("eligible_rows"), F.count("*").alias("eligible_groups"))
     out = groups.where(F.col("total_rows") > cutoff).agg(F.coalesce(F.sum("total_rows"), F.lit(0)).alias("excluded_rows"), F.count("*").alias("excluded_groups")) if cutoff > 0 else groups.limit(1).agg(F.lit(0).alias("excluded_rows"), F.lit(0).alias("excluded_groups"))
     rest = left.agg(F.coalesce(F.sum("total_rows"), F.lit(0)).alias("residual_rows"), F.count("*").alias("residual_groups"))
@@ -193,20 +200,22 @@ def field_profile(df: DataFrame, fields: Sequence[str], samples: int = 3) -> Dat
     long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields])).alias("x")).select("x.*")
     per_value = long.groupBy("field", "v").agg(F.count("*").alias("c"))
     filled = F.col("v").isNotNull() & (F.trim("v") != "")
-    size = F.length("v").cast("long")
-    r = Window.partitionBy("field", filled).orderBy("v")
-    ranked = per_value.select("*", filled.alias("filled"), size.alias("size"), F.row_number().over(r).alias("r"))
-    return ranked.groupBy("field").agg(
+    size = F.when(filled, F.length("v").cast("long"))
+    counts = per_value.groupBy("field").agg(
         F.sum("c").alias("row_count"),
         F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0)).alias("null_count"),
-        F.coalesce(F.sum(F.when(F.col("v").isNotNull() & ~F.col("filled"), F.col("c"))), F.lit(0)).alias("empty_count"),
-        F.coalesce(F.sum(F.when(F.col("filled"), F.col("c"))), F.lit(0)).alias("filled_count"),
-        F.count_if("filled").alias("distinct_count"),
-        F.min(F.when(F.col("filled"), F.col("size"))).alias("min_length"),
-        F.max(F.when(F.col("filled"), F.col("size"))).alias("max_length"),
-        F.array_sort(F.collect_list(F.when(F.col("filled") & (F.col("r") <= samples), F.col("v")))).alias("examples"),
-    ).withColumns(
+        F.coalesce(F.sum(F.when(F.col("v").isNotNull() & ~filled, F.col("c"))), F.lit(0)).alias("empty_count"),
+        F.coalesce(F.sum(F.when(filled, F.col("c"))), F.lit(0)).alias("filled_count"),
+        F.count_if(filled).alias("distinct_count"),
+        F.min(size).alias("min_length"),
+        F.max(size).alias("max_length"),
+    )
+    # A limit per field, which every task applies to its own rows first.
+    least = per_value.where(filled).withColumn("_r", F.row_number().over(Window.partitionBy("field").orderBy("v"))).where(F.col("_r") <= samples)
+    least = least.groupBy("field").agg(F.array_sort(F.collect_list("v")).alias("examples"))
+    return counts.join(least, "field", "left").withColumns(
         {
+            "examples": F.coalesce("examples", F.array().cast("array<string>")),
             "filled_ratio": F.round(F.col("filled_count") / F.col("row_count"), 6),
             "distinct_ratio": F.when(F.col("filled_count") > 0, F.round(F.col("distinct_count") / F.col("filled_count"), 6)).otherwise(F.lit(0.0)),
         }

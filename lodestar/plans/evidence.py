@@ -29,9 +29,9 @@ def _(t: Tables) -> DataFrame:
     return _content(t).agg(n.alias("input_rows"), F.count("*").alias("unique_rows"), F.round(F.lit(100.0) * (n - F.count("*")) / n, 2).alias("reduction"))
 
 
-@query("line_ranges", "SELECT flow_id, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a) AS ranges FROM (SELECT flow_id, min(l) AS a, max(l) AS b FROM (SELECT flow_id, l, l - row_number() OVER (PARTITION BY flow_id ORDER BY l) AS i FROM (SELECT DISTINCT flow_id, row_no AS l FROM component_rows WHERE row_no > 0 AND contains(command_text, '.exe'))) GROUP BY flow_id, i) GROUP BY 1")
+@query("line_ranges", "SELECT flow_id, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a) AS ranges FROM (SELECT flow_id, min(l) AS a, max(l) AS b FROM (SELECT flow_id, l, l - row_number() OVER (PARTITION BY flow_id ORDER BY l) AS i FROM (SELECT DISTINCT flow_id, row_no AS l FROM component_rows WHERE row_no > 0)) GROUP BY flow_id, i) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return E.line_ranges(t.component_rows.where("contains(command_text, '.exe')"), ["flow_id"], "row_no")
+    return E.line_ranges(t.component_rows, ["flow_id"], "row_no")
 
 
 @query("numbered_then_filtered", "SELECT row_id, row_ref FROM (SELECT row_id, user_name, row_number() OVER (PARTITION BY flow_id ORDER BY component_name, row_no, row_id, received_at) AS row_ref FROM (SELECT DISTINCT * FROM component_rows)) WHERE user_name = 'SYSTEM'")
@@ -109,10 +109,8 @@ def _(t: Tables) -> DataFrame:
 @query("retained_groups", "SELECT min_row, command_text, total FROM (SELECT min(row_id) AS min_row, command_text, (SELECT count(DISTINCT command_text) FROM component_rows) - 100 AS total FROM component_rows WHERE command_text IS NOT NULL GROUP BY command_text) ORDER BY min_row LIMIT 100")
 def _(t: Tables) -> DataFrame:
     g = t.component_rows.where("command_text is not null").groupBy("command_text").agg(F.min("row_id").alias("min_row"))
-    omitted = g.agg((F.count("*") - 100).alias("total"))
-    kept = g.orderBy("min_row").limit(100)
-    # One row beside a hundred.
-    return kept.join(F.broadcast(omitted), F.lit(True)).select("min_row", "command_text", "total")
+    omitted = g.agg((F.count("*") - 100).alias("total")).scalar()
+    return g.orderBy("min_row").limit(100).select("min_row", "command_text", omitted.alias("total"))
 
 
 @query("incremental_reuse", "WITH b AS (SELECT component_name, md5(string_agg(DISTINCT flow_id, ',' ORDER BY flow_id)) AS f FROM component_rows WHERE row_no < 5 GROUP BY 1), a AS (SELECT component_name, md5(string_agg(DISTINCT flow_id, ',' ORDER BY flow_id)) AS f FROM component_rows GROUP BY 1) SELECT a.component_name, CASE WHEN b.f IS NULL THEN 'pending' WHEN a.f = b.f THEN 'reused' ELSE 'changed' END AS status FROM a LEFT JOIN b USING (component_name)")

@@ -18,12 +18,12 @@ def _(t: Tables) -> DataFrame:
     return t.orders.groupBy(fleet.state_class(F.col("o_orderstatus"), _CLASSES).alias("state")).agg(F.count("*").alias("n"))
 
 
-_SUMMARY = f"SELECT count(*) AS baseline, count(o) AS responded, count(*) FILTER (o) AS with_open, count(*) FILTER (f) AS with_failed, count(*) FILTER (NOT o AND NOT f) AS finished, count(*) FILTER (o IS NULL) AS pending FROM customer LEFT JOIN (SELECT o_custkey, bool_or({_STATE} = 'open') AS o, bool_or({_STATE} = 'failed') AS f FROM orders GROUP BY 1) ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'"
+_SUMMARY = f"SELECT count(*) AS baseline, count(o) AS responded, count(*) FILTER (o) AS with_open, count(*) FILTER (f) AS with_failed, count(*) FILTER (NOT o AND NOT f) AS finished, count(*) FILTER (o IS NULL) AS pending FROM customer LEFT JOIN (SELECT o_custkey, bool_or({_STATE} = 'open') AS o, bool_or({_STATE} = 'failed') AS f FROM orders GROUP BY 1) ON c_custkey = o_custkey"
 
 
 def _summary(t: Tables) -> DataFrame:
     flows = t.orders.select(F.col("o_custkey").alias("client"), fleet.state_class(F.col("o_orderstatus"), _CLASSES).alias("state"))
-    return fleet.response_summary(t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("client")), flows, "client", "state")
+    return fleet.response_summary(t.customer.select(F.col("c_custkey").alias("client")), flows, "client", "state")
 
 
 @query("readiness_summary", _SUMMARY)
@@ -37,9 +37,9 @@ def _(t: Tables) -> DataFrame:
     return _summary(t).select("baseline", "responded", F.round(r / b, 4).alias("ratio"), F.when(r >= 0.8 * b, "ready").when(r < 0.2 * b, "stalled").otherwise("waiting").alias("class"))
 
 
-@query("coverage_status", "SELECT w.client_id, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN 'observed' WHEN n = 0 THEN 'empty' ELSE 'not_observed' END AS status FROM (SELECT DISTINCT client_id FROM clients) w LEFT JOIN (SELECT client_id, sum(coalesce(len(batch_rows), 0)) AS n FROM query_batches WHERE artifact = 'Linux.Sys.Journal' GROUP BY 1) s USING (client_id)")
+@query("coverage_status", "SELECT w.client_id, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN 'observed' WHEN n = 0 THEN 'empty' ELSE 'not_observed' END AS status FROM (SELECT DISTINCT client_id FROM clients) w LEFT JOIN (SELECT client_id, sum(coalesce(len(batch_rows), 0)) AS n FROM query_batches GROUP BY 1) s USING (client_id)")
 def _(t: Tables) -> DataFrame:
-    b = t.query_batches.where("artifact = 'Linux.Sys.Journal'").select("client_id", F.coalesce(F.size("batch_rows"), F.lit(0)).cast("long").alias("n"))
+    b = t.query_batches.select("client_id", F.coalesce(F.size("batch_rows"), F.lit(0)).cast("long").alias("n"))
     return fleet.coverage(t.clients, b, "client_id")
 
 

@@ -77,6 +77,18 @@ def _(t: Tables) -> DataFrame:
     return r.where(P.anywhere(r, "/QUIET /log")).select("row_id")
 
 
+@query("deep_search_path", "SELECT row_id FROM component_rows WHERE contains(lower(concat_ws(chr(31), client_id, investigation_id, request_id, artifact, flow_id, component_name, when_text, command_text, user_name)), '.exe\" /')")
+def _(t: Tables) -> DataFrame:
+    r = t.component_rows.drop("received_at", "row_no")
+    return r.where(P.anywhere(r, '.EXE" /')).select("row_id")
+
+
+@query("deep_search_folder", "SELECT record_id FROM autoruns_known_good WHERE contains(lower(concat_ws(chr(31), hash_key, image_path, launch_string, signer, description, modified_time, origin_zone)), 'c:\\windows\\')")
+def _(t: Tables) -> DataFrame:
+    k = t.autoruns_known_good.drop("arrived_at", "batch_no")
+    return k.where(P.anywhere(k, "C:\\Windows\\")).select("record_id")
+
+
 _MATCHES = "SELECT doc_id, 'text' AS field, p.pattern, u.nth, u.match FROM documents, (VALUES ('exe', '[A-Za-z]+\\.exe'), ('op', 'op-v1-[0-9a-f]+')) p(pattern, re), LATERAL (SELECT unnest(regexp_extract_all(text, p.re)) AS match, generate_subscripts(regexp_extract_all(text, p.re), 1) AS nth) u"
 
 
@@ -129,9 +141,9 @@ def _(t: Tables) -> DataFrame:
     return t.schema_contract.where(P.all_of([F.col("artifact").rlike(r"(?i)^windows\."), F.col("semantic").rlike("(?i)user|path|hash")])).select("artifact", "alias_name").distinct()
 
 
-@query("enrich_left", "SELECT r.row_id, r.client_id, c.hostname, c.fqdn FROM component_rows r LEFT JOIN clients c ON r.client_id = c.client_id AND c.os_type = 'windows'")
+@query("enrich_left", "SELECT r.row_id, r.client_id, c.hostname, c.fqdn FROM component_rows r LEFT JOIN clients c ON r.client_id = c.client_id")
 def _(t: Tables) -> DataFrame:
-    return t.component_rows.join(t.clients.where("os_type = 'windows'").select("client_id", "hostname", "fqdn"), "client_id", "left").select("row_id", "client_id", "hostname", "fqdn")
+    return t.component_rows.join(t.clients.select("client_id", "hostname", "fqdn"), "client_id", "left").select("row_id", "client_id", "hostname", "fqdn")
 
 
 @query("batched_sources", "SELECT r.row_id, s.n AS source_no FROM component_rows r JOIN (VALUES ('Generic.Net.Sockets', 1), ('Linux.Sys.Journal', 2), ('Windows.Fs.Timeline', 3)) s(a, n) ON r.artifact = s.a")
@@ -217,6 +229,9 @@ def _json_sql(c: str) -> str:
     return f"'\"' || {out} || '\"'"
 
 
+_IDENTITY = f"""sha1('{{' || chr(10) || ' "ImagePath": ' || {_json_sql(_path_sql('image_path'))} || ',' || chr(10) || ' "LaunchString": ' || {_json_sql(_path_sql('launch_string'))} || ',' || chr(10) || ' "Signer": ' || {_json_sql(f"translate(coalesce(signer, ''), '{text.UPPER}', '{text.LOWER}')")} || chr(10) || '}}')"""
+
+
 @query("hash_identity", f"""SELECT record_id, sha1('{{' || chr(10) || ' "ImagePath": ' || {_json_sql(_path_sql('image_path'))} || ',' || chr(10) || ' "LaunchString": ' || {_json_sql(_path_sql('launch_string'))} || ',' || chr(10) || ' "Signer": ' || {_json_sql(f"translate(coalesce(signer, ''), '{text.UPPER}', '{text.LOWER}')")} || chr(10) || '}}') AS hash_key FROM autoruns_known_good""")
 def _(t: Tables) -> DataFrame:
     return t.autoruns_known_good.select("record_id", hashing.identity_key(F.col("image_path"), F.col("launch_string"), F.col("signer")).alias("hash_key"))

@@ -10,11 +10,12 @@ from lodestar.operators import evidence as E
 from lodestar.operators import golden as G
 from lodestar.operators import stacks as S
 from lodestar.plans.registry import Tables, query
+from lodestar.plans.scans import _IDENTITY
 
 
-@query("exact_count", "SELECT count(*) AS n FROM component_rows WHERE artifact = 'Windows.Logs.Logon'")
+@query("exact_count", "SELECT count(*) AS n FROM component_rows")
 def _(t: Tables) -> DataFrame:
-    return t.component_rows.where("artifact = 'Windows.Logs.Logon'").agg(F.count("*").alias("n"))
+    return t.component_rows.agg(F.count("*").alias("n"))
 
 
 @query("stack_topn", "SELECT artifact, user_name, count(*) AS n FROM component_rows GROUP BY 1, 2 ORDER BY n DESC, artifact, user_name NULLS FIRST LIMIT 20")
@@ -29,17 +30,15 @@ def _(t: Tables) -> DataFrame:
     return n.join(t.clients.select("client_id", "fqdn", "hostname"), "client_id")
 
 
-@query("prevalence_stack", "SELECT event_type, count(*) AS host_count, sum(c) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM customer), 2) AS host_percent FROM (SELECT event_type, user_id, count(*) AS c FROM events WHERE ts > TIMESTAMP '2024-01-01' GROUP BY 1, 2) GROUP BY 1")
+@query("prevalence_stack", "SELECT event_type, count(*) AS host_count, sum(c) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM customer), 2) AS host_percent FROM (SELECT event_type, user_id, count(*) AS c FROM events GROUP BY 1, 2) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    e = t.events.where(F.col("ts").cast("timestamp_ntz") > F.lit("2024-01-01").cast("timestamp_ntz"))
-    hosts = t.customer.agg(F.count("*").alias("hosts"))
-    total = hosts.first()["hosts"]
-    return S.prevalence(e, ["event_type"], "user_id").withColumn("host_percent", S.host_percent(F.col("host_count"), F.lit(total)))
+    hosts = t.customer.agg(F.count("*").alias("hosts")).scalar()
+    return S.prevalence(t.events, ["event_type"], "user_id").withColumn("host_percent", S.host_percent(F.col("host_count"), hosts))
 
 
-@query("impacted_hosts", "SELECT r.client_id, c.fqdn, count(*) AS n FROM component_rows r JOIN clients c USING (client_id) WHERE r.artifact = 'Windows.Registry.RunKeys' GROUP BY ALL")
+@query("impacted_hosts", "SELECT r.artifact, r.client_id, c.fqdn, count(*) AS n FROM component_rows r JOIN clients c USING (client_id) GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    n = S.count_stack(t.component_rows.where("artifact = 'Windows.Registry.RunKeys'"), ["client_id"])
+    n = S.count_stack(t.component_rows, ["artifact", "client_id"])
     return n.join(t.clients.select("client_id", "fqdn"), "client_id")
 
 
@@ -160,7 +159,7 @@ def _pattern_rules(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(_PATTERN_RULES, "i string, l string, s string").where(G.usable_rule(F.col("i")))
 
 
-@query("known_good_filter", f"SELECT record_id FROM autoruns_known_good g WHERE (trim(coalesce(image_path, '')) <> '' OR trim(coalesce(launch_string, '')) <> '' OR trim(coalesce(signer, '')) <> '') AND NOT EXISTS (SELECT 1 FROM autoruns_known_good k WHERE k.batch_no = 1 AND k.image_path = g.image_path AND k.launch_string = g.launch_string AND k.signer = g.signer) AND NOT EXISTS (SELECT 1 FROM {_PATTERN_SQL} WHERE regexp_full_match(coalesce(image_path, ''), '(?is)' || i) AND regexp_full_match(coalesce(launch_string, ''), '(?is)' || l) AND regexp_full_match(coalesce(signer, ''), '(?is)' || s))")
+@query("known_good_filter", f"WITH k AS (SELECT *, {_IDENTITY} AS hk FROM autoruns_known_good) SELECT record_id FROM k WHERE (trim(coalesce(image_path, '')) <> '' OR trim(coalesce(launch_string, '')) <> '' OR trim(coalesce(signer, '')) <> '') AND hk NOT IN (SELECT hk FROM k WHERE batch_no = 1) AND NOT EXISTS (SELECT 1 FROM {_PATTERN_SQL} WHERE regexp_full_match(coalesce(image_path, ''), '(?is)' || i) AND regexp_full_match(coalesce(launch_string, ''), '(?is)' || l) AND regexp_full_match(coalesce(signer, ''), '(?is)' || s))")
 def _(t: Tables) -> DataFrame:
     k, keys = t.autoruns_known_good, ["image_path", "launch_string", "signer"]
     return G.known_good_filter(k, keys, k.where("batch_no = 1"), _pattern_rules(t), dict(zip(keys, "ils", strict=True))).select("record_id")
@@ -172,11 +171,10 @@ def _(t: Tables) -> DataFrame:
     return G.subtract_patterns(t.autoruns_known_good.select(*keys).distinct(), _pattern_rules(t), dict(zip(keys, "ils", strict=True)))
 
 
-@query("selected_semi", "SELECT record_id FROM autoruns_known_good WHERE (image_path, signer) IN (SELECT image_path, signer FROM autoruns_known_good WHERE batch_no = 2)")
+@query("selected_semi", f"WITH k AS (SELECT *, {_IDENTITY} AS hk FROM autoruns_known_good) SELECT record_id FROM k WHERE hk IN (SELECT hk FROM k WHERE batch_no = 2)")
 def _(t: Tables) -> DataFrame:
     k = t.autoruns_known_good
-    chosen = k.where("batch_no = 2").select("image_path", "signer").distinct()
-    return k.join(chosen, ["image_path", "signer"], "left_semi").select("record_id")
+    return G.select_identities(k, k.where("batch_no = 2"), ["image_path", "launch_string", "signer"]).select("record_id")
 
 
 @query("stack_context", "SELECT row_id, client_id, command_text FROM component_rows WHERE command_text IN (SELECT command_text FROM component_rows GROUP BY 1 HAVING count(*) = 2)")
@@ -213,6 +211,12 @@ def _(t: Tables) -> DataFrame:
     return G.upsert(one(k.where("batch_no <= 10")), one(k.where("batch_no > 10")), ["image_path"], "description", "modified_time")
 
 
+@query("delete_by_key", "SELECT record_id FROM autoruns_known_good k WHERE NOT EXISTS (SELECT 1 FROM autoruns_known_good g WHERE g.batch_no = 3 AND g.signer IS NOT DISTINCT FROM k.signer AND g.image_path IS NOT DISTINCT FROM k.image_path)")
+def _(t: Tables) -> DataFrame:
+    k = t.autoruns_known_good
+    return G.delete_by_key(k, k.where("batch_no = 3"), ["signer", "image_path"]).select("record_id")
+
+
 @query("best_description", "SELECT image_path, arg_min(coalesce(description, ''), (CASE WHEN trim(coalesce(description, '')) = '' THEN 1 ELSE 0 END, -length(coalesce(description, '')), coalesce(description, ''))) AS description FROM autoruns_known_good GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     return G.best_text(t.autoruns_known_good, ["image_path"], "description")
