@@ -63,3 +63,27 @@ def retry_candidates(base: DataFrame, seen: DataFrame, attempts: DataFrame, key:
     """Keys of the baseline that haven't been seen and were tried less than `most` times."""
     open_ = base.select(key).distinct().join(seen.select(key).distinct(), key, "left_anti")
     return open_.join(attempts.groupBy(key).agg(F.count("*").alias("attempts")), key, "left").select(key, F.coalesce("attempts", F.lit(0)).alias("attempts")).where(F.col("attempts") < most)
+
+
+def readiness(completed: Column, terminal: Column, failed: Column, baseline: Column, hours: Column) -> Column:
+    """ready, stalled or not_ready; baseline_empty without a baseline.
+
+    Ready: all terminal, 0.8 completed, or 0.7 after 24 hours. Stalled: after 24 hours less than 0.2 completed or 0.5 failed.
+    """
+    done, bad, late = completed / baseline, failed / baseline, F.coalesce(hours >= 24, F.lit(False))
+    return (
+        F.when(baseline <= 0, "baseline_empty")
+        .when((terminal >= baseline) | (done >= 0.8) | (late & (done >= 0.7)), "ready")
+        .when(late & ((done < 0.2) | (bad >= 0.5)), "stalled")
+        .otherwise("not_ready")
+    )
+
+
+def coverage_ladder(reviewed: Column, target: Column, terminal: Column) -> Column:
+    """complete, provisional, unknown or incomplete, from whether all is reviewed, the coverage of the targets and the source's state."""
+    return F.when(reviewed & (target == "complete") & terminal, "complete").when(~terminal | (target == "provisional"), "provisional").when(target == "unknown", "unknown").otherwise("incomplete")
+
+
+def accounted(scope: Column, remaining: Column) -> Column:
+    """What is accounted for of a scope; never less than none."""
+    return F.greatest(F.lit(0), scope - remaining)

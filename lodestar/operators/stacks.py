@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar.operators.predicates import reasons
+
 
 @dataclass(frozen=True)
 class StackSpec:
@@ -231,19 +233,47 @@ def length_percentile(df: DataFrame, fields: Sequence[str], share: float = 0.95)
     return run.where(F.col("run") >= F.ceil(F.col("total") * share)).groupBy("field").agg(F.min("size").alias("p_length"))
 
 
-def rejections(profile: DataFrame, longest: int = 500) -> DataFrame:
-    """field and the reasons why it is no stack dimension, from its profile."""
-    from lodestar.operators.predicates import reasons
+#: Names that make a field no stack dimension, without case, blanks and dashes.
+TIME_NAME = r"(?i)(?:^|_)(?:time|timestamp|date|created|creation|modified|mtime|atime|btime|lastseen|firstseen|lastrun)(?:$|_)|(?:time|timestamp|date)$"
+TIME_ENDS = ("atime", "btime", "created", "creationtime", "date", "firstseen", "lastmodified", "lastrun", "lastseen", "modified", "mtime", "time", "timestamp")
+RECORD_NAME = r"(?i)^(?:row|record|eventrecord|entry|parententry|process|thread)?id$|(?:rowid|recordid|record_id|entrynumber|parententrynumber|pid|ppid|guid|uuid)$"
+PROVENANCE = ("artifact", "clientid", "client_id", "computer", "exportcomponent", "flowid", "fqdn", "host", "hostname", "huntid", "orgid", "source", "sourceref", "_sourceref")
+PAYLOAD = ("body", "content", "data", "details", "eventdata", "evidence", "message", "payload", "raw", "scriptblocktext", "userdata", "xml")
+UNIQUE_IS_FINE = ("application", "appid", "detection", "hash", "md5", "normalized", "processname", "servicename", "sha1", "sha256", "sourceip", "taskname")
+SAFE_NAME = r"\A[A-Za-z_][A-Za-z0-9_. -]{0,127}\z"
+
 
-    low = F.lower("field")
+def rejections(profile: DataFrame, longest: int = 500, kinds: Mapping[str, str] | None = None) -> DataFrame:
+    """field and the reasons why it is no stack dimension, from its profile (with p_length) and the types of the columns."""
+    low = F.lower(F.regexp_replace("field", "[ -]", ""))
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in kinds.items() for x in p]), F.col("field")), F.lit("")) if kinds else F.lit("")
+    long = F.col("p_length") if "p_length" in profile.columns else F.col("max_length")
     codes = reasons(
         {
-            "timestamp_field": low.rlike(r"(^|_)(time|date|ts|at|when)($|_)|_(time|date|at)$"),
-            "record_identifier": low.rlike(r"(^|_)(row|record|event|doc|rule)_?(id|no)$"),
+            "unsafe_identifier": ~F.col("field").rlike(SAFE_NAME),
+            "timestamp_field": F.col("field").rlike(TIME_NAME) | low.rlike(f"(?:{'|'.join(TIME_ENDS)})$"),
+            "record_identifier": low.rlike(RECORD_NAME),
+            "provenance_only": low.isin(*PROVENANCE),
+            "raw_payload": low.startswith("raw") | low.rlike(f"(?:{'|'.join(PAYLOAD)})$"),
+            "nested_object": kind.rlike("^(?:struct|map|variant)"),
+            "array": kind.startswith("array"),
             "constant": F.col("distinct_count") <= 1,
             "very_sparse": F.col("filled_ratio") < 0.5,
-            "excessive_length": F.coalesce(F.col("max_length"), F.lit(0)) > longest,
-            "mostly_unique_identifier": F.col("distinct_ratio") >= 0.9,
+            "excessive_length": F.coalesce(long, F.lit(0)) > longest,
+            "mostly_unique_identifier": (F.col("distinct_ratio") >= 0.9) & ~low.rlike("|".join(UNIQUE_IS_FINE)),
         }
     )
     return profile.select("field", F.array_join(codes, ",").alias("codes"))
+
+
+def selected_context(rows: DataFrame, chosen: DataFrame, keys: Sequence[str], host: str, category: str) -> DataFrame:
+    """Per chosen identity: n, hosts (host to rows), categories, and complete: whether it has any row. Null hosts have no entry.
+
+    Rows come down to one per identity, host and category before they meet; a map has as many entries as there are hosts.
+    """
+    per = rows.join(chosen.select(*keys).distinct(), list(keys), "left_semi").groupBy(*keys, host, category).agg(F.count("*").alias("_c"))
+    by_host = per.where(F.col(host).isNotNull()).groupBy(*keys, host).agg(F.sum("_c").alias("_c"))
+    hosts = by_host.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(host, "_c"))).alias("hosts"))
+    rest = per.groupBy(*keys).agg(F.sum("_c").alias("n"), F.array_sort(F.collect_set(category)).alias("categories"))
+    j = chosen.select(*keys).distinct().join(rest, list(keys), "left").join(hosts, list(keys), "left")
+    return j.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), "hosts", "categories", F.col("n").isNotNull().alias("complete"))

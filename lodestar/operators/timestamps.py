@@ -73,30 +73,40 @@ def _listed(rules: bytes) -> list[tuple[int, int, int]]:
     return [(t, a, b) for t, a, b in zip(when, [offsets[0], *after], after, strict=False) if a != b]
 
 
+#: Years whose clock changes are laid out; before and after, the first and the last offset go on.
+FIRST_YEAR, LAST_YEAR = 1900, 2100
+
+
 @lru_cache(maxsize=4)
-def zone_segments(first_year: int = 1970, last_year: int = 2050) -> list[tuple[str, int, int, int, int, str]]:
-    """(zone, year, start_us, end_us, offset_us, kind) of all IANA zones: their local time lines without gap or overlap.
+def zone_segments(first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> tuple[dict[str, int], list[tuple[int, int, int, int, int, str]]]:
+    """(clock of each IANA zone, segments): the local time lines of all clocks without gap or overlap; many zones share a clock.
 
-    kind is `one`, `two` (local times that occur twice) or `none` (skipped ones); the offset of the last two is the one in force
-    before the change. The first and last segment of a zone reach without end. Bounded by the zone data, not by any table.
+    A segment is (clock, year, start_us, end_us, offset_us, kind). kind is `one`, `two` (local times that two offset intervals
+    hold) or `none` (those that none holds); the offset of the last two is the one in force before the change. The first and
+    last segment of a clock reach without end. Bounded by the zone data and the years, not by any table.
     """
     far, step = 1 << 61, timedelta(days=21)
     begin, end = datetime(first_year, 1, 1, tzinfo=timezone.utc), datetime(last_year, 1, 1, tzinfo=timezone.utc)
     out = []
-    clocks: dict[bytes, tuple[int, int]] = {}  # where the segments of a clock lie in out; many names share one
+    names: dict[str, int] = {}
+    clocks: dict[bytes, int] = {}
+    seen: set[int] = set()
     for name in sorted(zoneinfo.available_timezones()):
         rules = _rules(name)
-        if rules in clocks:
-            out += [(name, *x[1:]) for x in out[slice(*clocks[rules])]]
+        names[name] = clocks.setdefault(rules, len(clocks))
+        if names[name] in seen:
             continue
-        zone, first = zoneinfo.ZoneInfo(name), len(out)
+        seen.add(names[name])
+        clock, zone = names[name], zoneinfo.ZoneInfo(name)
         changes: list[tuple[int, int, int]] = []  # instant, offset before, after
         start_off = begin.astimezone(zone).utcoffset()
         for second, before, after in _listed(rules):
             if begin.timestamp() < second < end.timestamp():
                 changes.append((second * 1_000_000, before * 1_000_000, after * 1_000_000))
-        # The rule that goes on after the listed changes is followed step by step.
+        # The rule that goes on after the listed changes is followed step by step, if there is one.
         t = max(begin, _EPOCH + timedelta(microseconds=changes[-1][0])) if changes else begin
+        if rules[:4] == b"TZif" and b"," not in rules.rstrip(b"\n").rsplit(b"\n", 1)[-1]:
+            t = end
         off = t.astimezone(zone).utcoffset()
         while t < end:
             u = min(t + step, end)
@@ -112,22 +122,26 @@ def zone_segments(first_year: int = 1970, last_year: int = 2050) -> list[tuple[s
         for instant, before, after in changes:
             a, b = sorted((instant + before, instant + after))
             kind = "none" if after > before else "two"
-            out += [(name, at, a, before, "one"), (name, a, b, before, kind)]
+            out += [(clock, at, a, before, "one"), (clock, a, b, before, kind)]
             at = b
-        out.append((name, at, far, changes[-1][2] if changes else start_off // timedelta(microseconds=1), "one"))
-        clocks[rules] = (first, len(out))
+        out.append((clock, at, far, changes[-1][2] if changes else start_off // timedelta(microseconds=1), "one"))
     by_year = []
     starts = {y: (datetime(y, 1, 1, tzinfo=timezone.utc) - _EPOCH) // timedelta(microseconds=1) for y in range(first_year, last_year + 2)}
-    for name, a, b, off, kind in out:
+    for clock, a, b, off, kind in out:
         y0 = first_year if a < starts[first_year] else min(last_year, (_EPOCH + timedelta(microseconds=a)).year)
         y1 = last_year if b > starts[last_year] else max(first_year, (_EPOCH + timedelta(microseconds=b - 1)).year)
-        by_year += [(name, y, a, b, off, kind) for y in range(y0, y1 + 1)]
-    return by_year
+        by_year += [(clock, y, a, b, off, kind) for y in range(y0, y1 + 1)]
+    return names, by_year
 
 
-def zone_table(spark: SparkSession, first_year: int = 1970, last_year: int = 2050) -> DataFrame:
-    cols = ["zone", "zone_year", "local_from", "local_to", "zone_offset", "clock"]
-    return spark.createDataFrame(pa.table([pa.array(c) for c in zip(*zone_segments(first_year, last_year), strict=True)], names=cols))
+def zone_tables(spark: SparkSession, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> tuple[DataFrame, DataFrame]:
+    """(zone, zone_clock) of all zones, and the segments of their clocks."""
+    names, rows = zone_segments(first_year, last_year)
+    cols = ["clock_no", "zone_year", "local_from", "local_to", "zone_offset", "clock"]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    segments = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=cols)
+    zones = pa.table([pa.array(list(names)), pa.array(list(names.values()), pa.int32())], names=["zone_name", "zone_clock"])
+    return spark.createDataFrame(zones), spark.createDataFrame(segments)
 
 
 def _int(c: Column) -> Column:
@@ -186,7 +200,7 @@ def parse(df: DataFrame, text: Column, zone: Column, month_first: Column) -> Dat
     return d.withColumn("_zone", F.when(F.col("_bracket") != "", F.col("_bracket")).otherwise(zone)).drop("_base", "_bracket", "_p")
 
 
-def normalise(df: DataFrame, text_col: str, zone_col: str, month_first_col: str | None = None, first_year: int = 1970, last_year: int = 2050) -> DataFrame:
+def normalise(df: DataFrame, text_col: str, zone_col: str, month_first_col: str | None = None, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
     """df with utc_us (microseconds since 1970 UTC, finer digits dropped), time_form, time_clock and time_exact.
 
     Text without a zone is read on the clock of zone_col, or of a zone name in brackets; local times that occur twice or not at
@@ -194,18 +208,19 @@ def normalise(df: DataFrame, text_col: str, zone_col: str, month_first_col: str
     asked). Bare numbers count from 1970 in s, ms, µs or ns by their length, or are Windows ticks (18 digits). A date alone is
     its first instant. utc_us is null for null and blank texts, impossible dates, words, and local texts whose zone is
     null or unknown. time_exact marks texts already in the form YYYY-MM-DDTHH:MM:SS[.f]Z. Names must not clash with these
-    four and those beginning with an underscore; all other columns are kept.
+    four, those beginning with an underscore and the columns of `zone_tables`; all other columns are kept.
 
-    The zone table is a fixed one and is broadcast; rows aren't shuffled.
+    The zone tables are fixed ones and are broadcast; rows aren't shuffled.
     """
     month_first = F.col(month_first_col) if month_first_col else F.lit(False)
     d = parse(df, F.col(text_col), F.col(zone_col), month_first)
     asks = F.col("_local").isNotNull() & F.col("_offset").isNull()
     year = F.greatest(F.lit(first_year), F.least(F.lit(last_year), F.year(F.timestamp_micros(F.greatest(F.lit(-10**17), F.least(F.lit(10**17), F.col("_local")))))))
-    d = d.withColumns({"zone": F.when(asks, F.col("_zone")), "zone_year": F.when(asks, year).cast("long")})
-    z = F.broadcast(zone_table(df.sparkSession, first_year, last_year))
-    on = [d["zone"] == z["zone"], d["zone_year"] == z["zone_year"], d["_local"] >= z["local_from"], d["_local"] < z["local_to"]]
-    j = d.join(z, on, "left")
+    d = d.withColumns({"_asks": F.when(asks, F.col("_zone")), "_year": F.when(asks, year).cast("int")})
+    zones, segments = zone_tables(df.sparkSession, first_year, last_year)
+    d = d.join(F.broadcast(zones), F.col("_asks") == F.col("zone_name"), "left")
+    on = (F.col("zone_clock") == F.col("clock_no")) & (F.col("_year") == F.col("zone_year")) & (F.col("_local") >= F.col("local_from")) & (F.col("_local") < F.col("local_to"))
+    j = d.join(F.broadcast(segments), on, "left")
     return j.select(
         *[df[c] for c in df.columns],
         F.coalesce("_utc", F.col("_local") - F.coalesce("_offset", "zone_offset")).alias("utc_us"),

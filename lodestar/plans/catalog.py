@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.operators import drift, timestamps
-from lodestar.plans import evidence, findings, scans, stacks, streams  # noqa: F401  each enters its queries
+from lodestar.plans import evidence, findings, records, scans, stacks, streams  # noqa: F401  each enters its queries
 from lodestar.plans.registry import QUERIES, SQL, Tables, query
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -146,9 +146,10 @@ def _(t: Tables) -> DataFrame:
     return p.join(S.length_percentile(t.component_rows, _FIELDS), "field", "left")
 
 
-@query("field_rejections", f"SELECT field, array_to_string(list_filter([CASE WHEN regexp_matches(field, '(^|_)(time|date|ts|at|when)($|_)|_(time|date|at)$') THEN 'timestamp_field' END, CASE WHEN distinct_count <= 1 THEN 'constant' END, CASE WHEN filled_ratio < 0.5 THEN 'very_sparse' END, CASE WHEN max_length > 500 THEN 'excessive_length' END, CASE WHEN distinct_ratio >= 0.9 THEN 'mostly_unique_identifier' END], lambda x: x IS NOT NULL), ',') AS codes FROM ({_PROFILE})")
+@query("field_rejections", f"SELECT field, array_to_string(list_filter([CASE WHEN regexp_matches(field, '(?i)(?:^|_)(?:time|date)(?:$|_)') THEN 'timestamp_field' END, CASE WHEN field = 'artifact' THEN 'provenance_only' END, CASE WHEN distinct_count <= 1 THEN 'constant' END, CASE WHEN filled_ratio < 0.5 THEN 'very_sparse' END, CASE WHEN q.p_length > 500 THEN 'excessive_length' END, CASE WHEN distinct_ratio >= 0.9 THEN 'mostly_unique_identifier' END], lambda x: x IS NOT NULL), ',') AS codes FROM ({_PROFILE}) LEFT JOIN (SELECT field, quantile_disc(length(v), 0.95) AS p_length FROM ({_LONG}) WHERE trim(v) <> '' GROUP BY 1) q USING (field)")
 def _(t: Tables) -> DataFrame:
-    return S.rejections(S.field_profile(t.component_rows, _FIELDS))
+    p = S.field_profile(t.component_rows, _FIELDS).join(S.length_percentile(t.component_rows, _FIELDS), "field", "left")
+    return S.rejections(p, kinds=dict(t.component_rows.dtypes))
 
 
 _PATTERN_RULES = [("(?:c|d):\\\\.*", ".*--hidden.*", "(?:Naniro|Tipake).*"), (".*\\.sys", ".*", ".*")]

@@ -30,7 +30,7 @@ def csv_with_preamble(spark: SparkSession, path: str, header: Sequence[str] | No
     # Blank and comment lines go by the reader; the header line goes by its text, wherever splits fall.
     own = lines.where(~F.col("value").rlike("^\ufeff?\\s*(#|$)")).withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
     schema = ", ".join(f"`{h}` string" for h in header)
-    rows = own.select(F.from_csv("value", schema, {"mode": "FAILFAST"}).alias("r"))
+    rows = own.select(F.from_csv("value", schema, {"mode": "FAILFAST", "escape": "\""}).alias("r"))
     head = rows.where(F.col(f"r.`{header[0]}`").isNull() | (F.col(f"r.`{header[0]}`") != header[0]))
     return head.select("r.*")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +23,28 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) ->
     df.select(*[cell(df, n) for n in names]).write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
 
 
+def write_csv_with_preamble(df: DataFrame, path: str, metadata: Mapping[str, object]) -> None:
+    """CSV files that each begin with `# key: value` lines and a header, for `csv_with_preamble`; cells as in write_csv, on one line."""
+    import csv
+    import io
+
+    names = list(df.columns)
+    head = "".join(f"# {k}: {' '.join(str(v).split())}\n" for k, v in metadata.items())
+
+    def line(values: Sequence[str]) -> str:
+        out = io.StringIO()
+        csv.writer(out, lineterminator="").writerow(values)
+        return out.getvalue()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": [head + line(names)]})
+        for f in frames:
+            yield pd.DataFrame({"value": [line(r) for r in f.itertuples(index=False)]})
+
+    flat = df.select(*[F.regexp_replace(cell(df, n), r"[\r\n]+", " ").alias(n) for n in names])
+    flat.mapInPandas(run, "value string").write.mode("overwrite").text(path)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """One JSON object per line, nulls kept."""
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
