@@ -90,9 +90,10 @@ def pack(df: DataFrame, source: str, order: Sequence[str], weight: Column, most:
 def select_in_budget(df: DataFrame, source: str, order: Sequence[Column], weight: Column, budget: int, keep: str) -> DataFrame:
     """(source, keep): rows taken in order while they fit the source's budget; one that doesn't fit is passed over.
 
-    Each source is walked once in order; only the sum is held.
+    Each source is walked once in order; only the sum is held. Rows that no budget holds are left out before.
     """
     w = df.select(F.col(source).cast("string").alias("source"), F.col(keep).cast("string").alias("keep"), weight.cast("long").alias("w"), *[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    w = w.where(F.coalesce("w", F.lit(0)) <= budget)
     s = w.repartition("source").sortWithinPartitions("source", *[f"_o{i}" for i in range(len(order))]).select("source", "keep", "w")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -57,7 +57,7 @@ def _(t: Tables) -> DataFrame:
     return E.pack(once, "flow_id", ["row_id"], F.col("w"), 400)
 
 
-@query("budget_selection")
+@query("budget_selection", "WITH RECURSIVE x AS (SELECT artifact, row_id, coalesce(length(command_text), 0) AS w, row_number() OVER (PARTITION BY artifact ORDER BY length(command_text) NULLS FIRST, row_id) AS n FROM component_rows), c AS (SELECT artifact, n, row_id, w <= 5000 AS fits, CASE WHEN w <= 5000 THEN w ELSE 0 END AS used FROM x WHERE n = 1 UNION ALL SELECT x.artifact, x.n, x.row_id, c.used + x.w <= 5000, CASE WHEN c.used + x.w <= 5000 THEN c.used + x.w ELSE c.used END FROM c JOIN x ON x.artifact = c.artifact AND x.n = c.n + 1) SELECT artifact AS source, CAST(row_id AS VARCHAR) AS keep FROM c WHERE fits")
 def _(t: Tables) -> DataFrame:
     return E.select_in_budget(t.component_rows, "artifact", [F.length("command_text"), F.col("row_id")], F.coalesce(F.length("command_text"), F.lit(0)), 5000, "row_id")
 
