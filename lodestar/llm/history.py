@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.canonical import letters_digits
 from lodestar.llm.runs import adjacent_runs
-from lodestar.session import cut, drop_shared, get_shared, put_shared, shared_dir, shuffle_partitions
+from lodestar.session import cut, drop_shared, get_shared, put_shared, shared_dir, shuffle_partitions, written
 
 #: Keys looked at to choose pivots (those with the smallest hash, of up to so many characters); it only affects speed, every key is
 #: indexed.
@@ -336,13 +336,14 @@ def screen_exact(rows: DataFrame, history: DataFrame | None = None, pivots: Sequ
     """
     spark = rows.sparkSession
     rows = rows.select("id", "batch", "key").where("id is not null and key is not null and batch is not null")
+    low, high = _ends(rows)
     repeats = spark.createDataFrame([], "id bigint, first_id bigint")
     if history is not None:
-        known = history.select("key", F.col("id").alias("first_id")).join(rows.select("key").distinct(), "key", "left_semi")
+        # Written, so that history is read once for all that is made of it.
+        known = written(history.select("key", F.col("id").alias("first_id")).join(rows.select("key").distinct(), "key", "left_semi"))
         repeats = rows.join(known, "key").groupBy("id").agg(F.min("first_id").alias("first_id"))
         rows = rows.join(known, "key", "left_anti")
     accepted = rows.groupBy("key").agg(F.min(F.struct("batch", "id"))["id"].alias("id"))
-    low, high = _ends(rows)
     if low != high:
         pivots = list(pivots) if pivots is not None else choose_pivots(rows.select("key").distinct(), 1)
         lead = [F.levenshtein(F.col("key"), F.lit(p)) for p in pivots]
